@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("op7_token_output", "op8_chat", "op9_html_text", "op10_packing")
+MODULES = ("op1_secrets", "op7_token_output", "op8_chat", "op9_html_text", "op10_packing")
 
 
 def _each(name: str) -> dict:
