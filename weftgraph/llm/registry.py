@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("op1_secrets", "op2_language", "op3_quality", "op4_decontaminate", "op5_near_dedup", "op7_token_output", "op8_chat", "op9_html_text", "op10_packing")
+MODULES = ("op1_secrets", "op2_language", "op3_quality", "op4_decontaminate", "op5_near_dedup", "op6_neighbours", "op7_token_output", "op8_chat", "op9_html_text", "op10_packing")
 
 
 def _each(name: str) -> dict:
