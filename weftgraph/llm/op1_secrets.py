@@ -154,6 +154,35 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_can
     return joined.select(every["doc_id"], every["_h"], F.coalesce("spans", F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")).alias("spans"))
 
 
+def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with every secret replaced by ``[secret]``, and n_chars, if it is there, set to the new length.
+
+    Spans that overlap are masked as one. The parts between spans are cut from the text and joined.
+    Texts without secrets stay as they are, null too; other columns are kept.
+    """
+    found = find_secrets(docs, rules).where(F.size("spans") > 0).distinct()
+    few = stored(found.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"), "spans"), "secret-spans")
+    wide = F.broadcast(few) if few.count() <= BROADCAST_CANDIDATES else few
+    joined = docs.join(wide, docs["doc_id"].cast("long").eqNullSafe(wide["_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == wide["_hash"]), "left")
+    # Each span begins where those before it have ended; those within others vanish.
+    ends = F.transform("spans", lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.coalesce(F.array_max(F.transform(F.slice("spans", 1, i), lambda x: x["end"])), F.lit(0).cast("long")).alias("from")))
+    kept = F.filter(ends, lambda s: s["end"] > s["from"])
+    text = docs["text"]
+    parts = F.transform(kept, lambda s: F.concat(F.when(s["start"] >= s["from"], F.concat(text.substr(s["from"].cast("int") + 1, (s["start"] - s["from"]).cast("int")), F.lit("[secret]"))).otherwise(F.lit(""))))
+    tail = F.array_max(F.transform("spans", lambda s: s["end"])).cast("int")
+    masked = F.when(F.col("spans").isNull(), text).otherwise(F.concat(F.array_join(parts, ""), text.substr(tail + 1, F.length(text))))
+    out = joined.withColumn("_masked", masked)
+    columns = []
+    for c in docs.columns:
+        if c == "text":
+            columns.append(F.col("_masked").alias("text"))
+        elif c == "n_chars":
+            columns.append(F.when(F.col("spans").isNull(), docs[c]).otherwise(F.length("_masked").cast(docs.schema[c].dataType)).alias(c))
+        else:
+            columns.append(docs[c])
+    return out.select(*columns)
+
+
 def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rule"]), s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -113,7 +113,7 @@ def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
             s = np.sort(whole[a : b - words + 1])
             out.append(s[np.concatenate((np.ones(1, bool), s[1:] != s[:-1]))])
         elif b > a:
-            out.append(mix((word[a:b] * _place[: b - a]).sum(keepdims=True) + _U(b - a) * _place[7]))
+            out.append(mix((word[a:b] * _place[: b - a]).sum(keepdims=True) + np.array([b - a], _U) * _place[7]))
         else:
             out.append(word[:0])
     return out
@@ -441,6 +441,15 @@ def near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "set_a", "set_b")
 
 
+def without_copies(docs: DataFrame, join: Join | None = None) -> DataFrame:
+    """The rows of docs that are their component's smallest id, with their columns. Rows that repeat that
+    id stay too, as do rows with null ids or empty sets."""
+    found = near_duplicates(docs, join)
+    dropped = stored(found.where("NOT kept AND n_shingles > 0").select("doc_id").distinct(), "copies")
+    wide = F.broadcast(dropped) if dropped.count() <= BROADCAST_MEMBERS else dropped
+    return docs.join(wide.select(F.col("doc_id").alias("_id")), docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
