@@ -159,7 +159,7 @@ def components_and_levels(edges: DataFrame, small: int = SMALL, keep: Store = st
     node, and 1 more than the highest level of the components that it depends on. An empty graph gives no rows."""
     edges = edges.select(F.col("src").cast("string"), F.col("dst").cast("string")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     if edges.limit(small + 1).count() <= small:
-        return edges.groupBy(F.lit(0)).applyInPandas(_solve, "node string, component string, level int")
+        return edges.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(_solve, "node string, component string, level int")
     component = _distributed_components(edges, keep, most_rounds)
     return _distributed_levels(edges, component, keep, most_rounds).select("node", "component", "level")
 

@@ -126,7 +126,7 @@ def module_levels(weight: DataFrame) -> DataFrame:
         return _hierarchy(pdf.sort_values("seq", kind="stable", key=None))
 
     ordered = weight.withColumn("seq", F.row_number().over(Window.orderBy("seq", "a", "b")))
-    return ordered.groupBy(F.lit(0)).applyInPandas(solve, "level int, name string, files array<string>, dirs array<string>")
+    return ordered.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(solve, "level int, name string, files array<string>, dirs array<string>")
 
 
 def file_modules(edges: DataFrame) -> DataFrame:
