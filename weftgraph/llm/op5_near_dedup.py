@@ -382,7 +382,7 @@ def _tree_edges(nodes: DataFrame, join: Join) -> DataFrame:
     rows = stored(nodes.select("node", "tokens").mapInArrow(_branching(join, True), "path long, node long"), "paths")
     leaves = []
     for depth in range(1, join.depth + 1):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned(F.xxhash64("node"), 8)).alias("s"), F.bit_xor("node").alias("x")).where("n > 1")
+        sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned(F.xxhash64("node"), 32)).alias("s"), F.bit_xor("node").alias("x")).where("n > 1")
         sizes = stored(sizes, "path-sizes")
         ends = sizes if depth == join.depth else sizes.where(F.col("n") <= join.leaf)
         # Trees often end in leaves of the same members; one of each is enough.
