@@ -161,23 +161,25 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Texts without secrets stay as they are, null too; other columns are kept.
     """
     found = find_secrets(docs, rules).where(F.size("spans") > 0).distinct()
-    few = stored(found.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"), "spans"), "secret-spans")
-    wide = F.broadcast(few) if few.count() <= BROADCAST_CANDIDATES else few
-    joined = docs.join(wide, docs["doc_id"].cast("long").eqNullSafe(wide["_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == wide["_hash"]), "left")
+    before = Window.partitionBy("doc_id", "_h").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    each = found.select("doc_id", "_h", F.posexplode("spans").alias("at", "s")).select("doc_id", "_h", "at", "s.start", "s.end")
     # Each span begins where those before it have ended; those within others vanish.
-    ends = F.transform("spans", lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.coalesce(F.array_max(F.transform(F.slice("spans", 1, i), lambda x: x["end"])), F.lit(0).cast("long")).alias("from")))
-    kept = F.filter(ends, lambda s: s["end"] > s["from"])
+    each = each.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0).cast("long"))).where(F.col("end") > F.col("from"))
+    cuts = each.groupBy(F.col("doc_id").alias("__id"), F.col("_h").alias("__hash")).agg(F.array_sort(F.collect_list(F.struct("from", "start", "end"))).alias("__cuts"))
+    cuts = stored(cuts, "secret-spans")
+    wide = F.broadcast(cuts) if cuts.count() <= BROADCAST_CANDIDATES else cuts
     text = docs["text"]
-    parts = F.transform(kept, lambda s: F.concat(F.when(s["start"] >= s["from"], F.concat(text.substr(s["from"].cast("int") + 1, (s["start"] - s["from"]).cast("int")), F.lit("[secret]"))).otherwise(F.lit(""))))
-    tail = F.array_max(F.transform("spans", lambda s: s["end"])).cast("int")
-    masked = F.when(F.col("spans").isNull(), text).otherwise(F.concat(F.array_join(parts, ""), text.substr(tail + 1, F.length(text))))
-    out = joined.withColumn("_masked", masked)
+    joined = docs.join(wide, docs["doc_id"].cast("long").eqNullSafe(wide["__id"]) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == wide["__hash"]), "left")
+    part = lambda s: F.when(s["start"] >= s["from"], F.concat(text.substr(s["from"].cast("int") + 1, (s["start"] - s["from"]).cast("int")), F.lit("[secret]"))).otherwise(F.lit(""))
+    tail = F.element_at("__cuts", -1)["end"].cast("int")
+    masked = F.when(F.col("__cuts").isNull(), text).otherwise(F.concat(F.array_join(F.transform("__cuts", part), ""), text.substr(tail + 1, F.length(text))))
+    out = joined.withColumn("__masked", masked)
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.col("_masked").alias("text"))
+            columns.append(F.col("__masked").alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(F.col("spans").isNull(), docs[c]).otherwise(F.length("_masked").cast(docs.schema[c].dataType)).alias(c))
+            columns.append(F.when(F.col("__cuts").isNull(), docs[c]).otherwise(F.length("__masked").cast(docs.schema[c].dataType)).alias(c))
         else:
             columns.append(docs[c])
     return out.select(*columns)
