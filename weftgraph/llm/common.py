@@ -11,6 +11,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_caches: dict[str, dict] = {}
+#: Rows in an Arrow batch at most: texts are long, and batches are held by the JVM and by Python.
+BATCH_ROWS = 1000
+
+
+def cache(owner: str) -> dict:
+    """What a Python worker keeps between tasks for one operator."""
+    return _caches.setdefault(owner, {})
+
+
+def only(owner: str) -> dict:
+    """The owner's cache; a worker that comes to another operator drops what earlier ones kept, so that its memory
+    is that of one operator and not of all."""
+    for name, kept in _caches.items():
+        if name != owner:
+            kept.clear()
+    return cache(owner)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session sends at most so many rows to Python at a time from now on."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import stored, table
+from weftgraph.llm.common import small_batches, stored, table
 from weftgraph.llm.tokens import END_BYTES, default_vocabulary, encoder
 
 LIMIT = 2048
@@ -107,7 +107,7 @@ def _placing(runs: dict[int, tuple[np.ndarray, ...]]) -> Callable:
 
 def pack(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
     """A row for each piece of each document, with its sequence and its offset there."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pieces = stored(docs.mapInArrow(_cutting(vocabulary, limit), PIECES), "pieces")
     order = (F.col("length"), F.col("doc_id"), F.col("start"))
     # The id holds the partition and the row's number there; it is stored, so that it's the same later.

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bucket, table
+from weftgraph.llm.common import bucket, only, small_batches, table
 
 DIMENSIONS, NGRAM, SYMBOLS, SEED = 1024, 3, 64, 20_011
 UNKNOWN = "und"
@@ -77,13 +77,11 @@ class Letters:
         return out
 
 
-_letters: list[Letters] = []
-
-
 def letters() -> Letters:
-    if not _letters:
-        _letters.append(Letters())
-    return _letters[0]
+    kept = only("language")
+    if not kept:
+        kept["letters"] = Letters()
+    return kept["letters"]
 
 
 def _training(batches) -> Iterator:
@@ -105,7 +103,7 @@ def _training(batches) -> Iterator:
 
 def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     """The prototype of each language of docs (text, lang), over all its rows."""
-    rows = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    rows = small_batches(docs).select(F.col("text").cast("string"), F.col("lang").cast("string")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     parts = rows.mapInArrow(_training, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("i", "x"))
     out: dict[str, np.ndarray] = {}
     for r in parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).collect():
@@ -171,7 +169,7 @@ def _cosines(texts: list[str | None], matrix: np.ndarray) -> list[np.ndarray | N
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     """(doc_id, held_out, lang_pred, score); docs needs doc_id, text and held_out."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "held_out")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "held_out")
     return rows.mapInArrow(_predicting(prototypes), "doc_id long, held_out boolean, lang_pred string, score double")
 
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bucket, table
+from weftgraph.llm.common import bucket, only, small_batches, table
 
 SAMPLE, TRAIN_BYTES = 700, 6144
 EPOCHS, BATCH, RATE, SEED = 14, 24, 0.004, 7
@@ -205,6 +205,7 @@ def _scoring(net: Network | None, shift: float) -> Callable:
     def run(batches):
         import pyarrow as pa
 
+        only("quality")
         for batch in batches:
             scores = np.empty(batch.num_rows)
             for a in range(0, batch.num_rows, 64):
@@ -218,7 +219,7 @@ def _scoring(net: Network | None, shift: float) -> Callable:
 def score(docs: DataFrame, net: Network | None, shift: float) -> DataFrame:
     """docs with _score; its other columns stay."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_scoring(net, shift), f"{schema}, _score double")
+    return small_batches(docs).mapInArrow(_scoring(net, shift), f"{schema}, _score double")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

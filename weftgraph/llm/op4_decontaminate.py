@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import table
+from weftgraph.llm.common import only, small_batches, table
 
 Q, RATE, LEAST = 8, 0.1, 24
 BENCHMARK_BYTES = 32 << 20
@@ -162,16 +162,14 @@ class Items:
         return best.tolist()
 
 
-_indexes: dict[str, Items] = {}
-
-
 def _items(shared) -> Items:
     """The index of a broadcast (name, items); a worker keeps the last one."""
     name, items = shared.value
-    if name not in _indexes:
-        _indexes.clear()
-        _indexes[name] = Items(items)
-    return _indexes[name]
+    kept = only("decontaminate")
+    if name not in kept:
+        kept.clear()
+        kept[name] = Items(items)
+    return kept[name]
 
 
 def _slices(texts: list[bytes]):
@@ -229,7 +227,7 @@ def _blocks(benchmark: DataFrame, most: int):
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, most: int = BENCHMARK_BYTES) -> DataFrame:
     """(doc_id, item_id, edits) of each item found in each document."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
     for shared in _blocks(benchmark, most):
         found = docs.mapInArrow(_finding(shared), "doc_id long, item_id long, edits long")
@@ -242,7 +240,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most: int = BENCHMARK_BYTE
 def without_leaks(docs: DataFrame, benchmark: DataFrame, most: int = BENCHMARK_BYTES) -> DataFrame:
     """The documents in which no item is found, with their columns."""
     for shared in _blocks(benchmark, most):
-        docs = docs.mapInArrow(_flagging(shared), docs.schema)
+        docs = small_batches(docs).mapInArrow(_flagging(shared), docs.schema)
     return docs
 
 

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import stored, table
+from weftgraph.llm.common import only, small_batches, stored, table
 from weftgraph.operators.components import connected_components
 
 TOKENS = 128
@@ -73,7 +73,6 @@ _times = (_random.integers(0, 1 << 32, TOKENS, np.uint32) | np.uint32(1)).astype
 _xor = _random.integers(0, 1 << 32, TOKENS, np.uint32)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,10 +84,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
+    kept = only("near").setdefault("powers", [])
+    if not kept or len(kept[0]) < n:
         n = max(n, SLICE + (SLICE >> 2))
-        _powers[:] = (np.multiply.accumulate(np.concatenate((np.ones(1, _U), np.full(n - 1, b, _U)))) for b in (_BASE, _INVERSE))
-    return _powers
+        kept[:] = (np.multiply.accumulate(np.concatenate((np.ones(1, _U), np.full(n - 1, b, _U)))) for b in (_BASE, _INVERSE))
+    return kept
 
 
 def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -417,7 +417,7 @@ def _sketching(batches):
 def near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, set_a, set_b) of each row."""
     join = join or Join()
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets = stored(docs.mapInArrow(_setting(join), SETS), "sets")
     full = sets.where("n_shingles > 0")
     nodes = full.groupBy("set_a", "set_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "n_shingles", "tokens")).alias("x"))

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import fresh_path, open_uri, stored, table
+from weftgraph.llm.common import fresh_path, open_uri, small_batches, stored, table
 from weftgraph.llm.tokens import END_BYTES, default_vocabulary, encoder
 
 MAGIC = b"WEFTPLN1"
@@ -162,7 +162,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, block: int = BLOCK, planes: s
     start the ids before the document in its file and in all of them."""
     spark = docs.sparkSession
     folder = fresh_path(spark, "tokens")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     placed = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     index = stored(placed.mapInArrow(_writing(folder, vocabulary, block, planes), "doc_id long, part int, at long, n_tokens long"), "token-index")
     # One row a file, so the window's single partition is bounded by the number of files.

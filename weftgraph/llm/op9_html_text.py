@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import table
+from weftgraph.llm.common import small_batches, table
 
 #: Lines in a window.
 WINDOW = 3
@@ -152,7 +152,7 @@ def _extract(batches):
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page; no shuffle."""
-    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    pages = small_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return pages.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 

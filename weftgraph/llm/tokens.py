@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 
+from weftgraph.llm.common import only
+
 #: Words that a worker remembers at most, and the longest that it does.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
+CACHE_WORDS, CACHE_CHARS = 800_000, 64
 #: The id that ends each document.
 END = 1
 END_BYTES = END.to_bytes(4, "little")
@@ -89,18 +91,16 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder for a vocabulary file."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    kept = only("tokens")
+    if path not in kept:
+        kept.clear()
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 def default_vocabulary() -> str:
