@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +81,29 @@ def bucket(col: str | Column, mod: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+@contextmanager
+def one_thread():
+    """numpy's products in one thread: many small ones lose far more by waiting for each other's threads than they
+    gain. Where the library's switch isn't found, nothing changes."""
+    import ctypes
+    import glob
+
+    import numpy
+
+    places = glob.glob(f"{numpy.__path__[0]}/../numpy.libs/*openblas*")
+    switch = next(((x, n) for p in places for x in [ctypes.CDLL(p)] for n in ("scipy_openblas_{}_num_threads64_", "openblas_{}_num_threads64_", "openblas_{}_num_threads") if hasattr(x, n.format("set"))), None)
+    if switch is None:
+        yield
+        return
+    library, name = switch
+    before = getattr(library, name.format("get"))()
+    getattr(library, name.format("set"))(1)
+    try:
+        yield
+    finally:
+        getattr(library, name.format("set"))(before)
+
+
 def open_uri(uri: str):
     """(file system, path) of pyarrow for a URI of the shared folder."""
     from pyarrow import fs

@@ -22,10 +22,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bucket, only, small_batches, table
+from weftgraph.llm.common import bucket, one_thread, only, small_batches, table
 
 SAMPLE, TRAIN_BYTES = 700, 6144
 EPOCHS, BATCH, RATE, SEED = 14, 24, 0.004, 7
+#: Small samples are gone through more often, for about as many steps; so often at most.
+STEPS, MOST_EPOCHS = 800, 60
 EMBED, FILTERS, HIDDEN, STRIDE = 8, 32, 24, 4
 BLOCK = 128  # bytes; a chunk is two blocks
 ROWS = BLOCK // STRIDE
@@ -196,7 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Net
     if len(set(y.tolist())) < 2:
         return None, prior
     net = Network()
-    net.fit([bytes(r["text"]) for r in got], y)
+    with one_thread():
+        net.fit([bytes(r["text"]) for r in got], y, min(MOST_EPOCHS, max(EPOCHS, -(-STEPS * BATCH // len(got)))))
     share = float(np.mean(y))
     return net, prior - float(np.log(share / (1 - share)))
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import fresh_path, open_uri, table
+from weftgraph.llm.common import fresh_path, one_thread, open_uri, table
 
 SAMPLE, SAMPLE_QUERIES, TARGET = 8192, 256, 0.97
 WORDS, BITS, SEED = 4, 16, 5
@@ -194,7 +194,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return empty
     dims = max(sorted(set(sizes)), key=sizes.count)
     rows = rows.where(F.size("v") == dims)
-    model = fit(np.array([r["v"] for r in sample if len(r["v"]) == dims]), k)
+    with one_thread():
+        model = fit(np.array([r["v"] for r in sample if len(r["v"]) == dims]), k)
     folder = fresh_path(spark, "queries")
     usable(queries).where(F.size("v") == dims).write.parquet(folder)
     asked = spark.read.schema("vec_id long, v array<double>").parquet(folder)
