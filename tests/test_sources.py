@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftgraph.plans.scan import compare, scan
 from weftgraph.sources import config as C
 from weftgraph.sources import history, sinks
+from weftgraph.operators.scoring import explain_at
 from weftgraph.sources.ingest import PythonAdapter, read_files
 from weftgraph.streaming import session as T
 
@@ -47,12 +48,12 @@ def project(tmp_path_factory):
         (top / name).write_text(text)
     run("add", "-A"), run("commit", "-qm", "one")
     (top / "a.py").write_text("import b\nfrom b import use\ndef back():\n    return use()\n" + BASE["a.py"])
-    (top / "b.py").write_text(BASE["b.py"] + "def again():\n    wide(5, 6, 7, 8)\n")
+    (top / "b.py").write_text(BASE["b.py"] + "def other(p, q, r, s):\n    t = p\n    return t\ndef again():\n    other(5, 6, 7, 8)\n    wide(5, 6, 7, 8)\n")
     run("add", "-A"), run("commit", "-qm", "two")
     return top
 
 
-def test_scan_of_python(spark, project):
+def test_scan_of_python(spark, project, tmp_path):
     base = history.materialize(str(project), "HEAD~1")
     scans = {}
     for name, folder in (("base", base), ("head", str(project))):
@@ -70,10 +71,13 @@ def test_scan_of_python(spark, project):
     out = json.loads(sinks.sarif(head.edges, cycles=head.cycles))
     assert out["version"] == "2.1.0" and len(out["runs"][0]["tool"]["driver"]["rules"]) == 11 and any(r["ruleId"] == "cycle" for r in out["runs"][0]["results"])
     assert any(x.startswith("[high] cycle") for x in sinks.finding_lines(head.findings()))
+    assert explain_at(head.edges, "B.py:3").count() > 0 and explain_at(head.edges, "b.py:99").count() == 0
     page = sinks.html_page("<x>", head.edges, head.hotspots(), head.quality)
     assert "&lt;x&gt;" in page and "<meter" in page
     lines = [r.line for r in sinks.scan_json(head.edges, head.summary(), head.pressure()).collect()]
     assert sum('"summary"' in x for x in lines) == 1 and len(lines) == head.edges.count() + 1
+    sinks.scan_json(head.edges, head.summary()).write.text(str(tmp_path / "scan"))
+    assert sinks.read_scan(spark, str(tmp_path / "scan")).exceptAll(head.edges).count() == 0 and sinks.read_scan(spark, str(tmp_path / "scan")).count() == head.edges.count()
     assert sinks.architecture_lines(head.architecture()) and sinks.edge_lines(head.edges, 1)[-1].endswith("more")
     assert "since the session began" in sinks.health_message(head.edges, head.summary(), head.hotspots(), 1)
     assert len(sinks.session_message(head.edges, 0, 9, budget=80)) <= 80

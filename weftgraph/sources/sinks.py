@@ -31,6 +31,14 @@ def scan_json(edges: DataFrame, summary: DataFrame, pressure: DataFrame | None =
     return first.unionByName(edges.select(F.to_json(F.struct(*edges.columns)).alias("line")))
 
 
+def read_scan(spark, path: str) -> DataFrame:
+    """The scored edges of a scan that ``scan_json`` wrote; lines that aren't edges are left out."""
+    from weftgraph.functions.schema import SCORED
+
+    rows = spark.read.text(path).select(F.from_json("value", SCORED).alias("e")).select("e.*")
+    return rows.where(F.col("ctype").isNotNull() & F.col("a_id").isNotNull() & F.col("b_id").isNotNull())
+
+
 def sarif(edges: DataFrame, root: str = "", cycles: DataFrame | None = None, cochange: DataFrame | None = None, top: int = 5000, version: str = "0.1.0") -> str:
     """SARIF 2.1.0: a rule for each type, cycles and co-change; the foremost edges as results."""
     rules = [{"id": t, "shortDescription": {"text": f"coupling by {t}"}, "properties": {"heuristic": t in K.HEURISTIC, "strength": s}} for t, s in K.STRENGTH.items()]
