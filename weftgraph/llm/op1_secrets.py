@@ -112,16 +112,17 @@ def candidates(docs: DataFrame, queries: dict[int, list[frozenset[str]]]) -> tup
     """(doc_id, _h, rules) that meet a rule's query, and the test for each alternative's rarest trigram."""
     spark = docs.sparkSession
     trigrams = sorted({t for q in queries.values() for a in q for t in a})
-    low = F.lower("text")
-    held = F.array_compact(F.array(*(F.when(low.contains(t), F.lit(t)) for t in trigrams)))
+    # Within a lambda the lower-cased text is made once; as a plain expression each condition makes its own.
+    low = F.array(F.lower("text"))
+    held = F.get(F.transform(low, lambda x: F.array_compact(F.array(*(F.when(x.contains(t), F.lit(t)) for t in trigrams)))), F.lit(0))
     postings = docs.select("doc_id", "_h", F.explode(held).alias("trigram"))
     clauses = spark.createDataFrame([(n, a, t, len(alt)) for n, q in queries.items() for a, alt in enumerate(q) for t in sorted(alt)], "rule int, alternative int, trigram string, needed int")
     # Rules bound the clauses' size. Grouping by document splits frequent trigrams' postings.
     met = postings.join(F.broadcast(clauses), "trigram").groupBy("doc_id", "_h", "rule", "alternative", "needed").agg(F.count("*").alias("n"), F.collect_set("trigram").alias("t"))
     met = met.where(F.size("t") >= F.col("needed"))
     found = stored(met.groupBy("doc_id", "_h").agg(F.collect_set("rule").alias("rules")), "secret-candidates")
-    any_rarest = reduce(lambda a, b: a | b, (low.contains(max(sorted(alt), key=_rarity)) for q in queries.values() for alt in q))
-    return found, any_rarest
+    rare = sorted({max(alt, key=_rarity) for q in queries.values() for alt in q})
+    return found, F.exists(low, lambda x: reduce(lambda a, b: a | b, (x.contains(t) for t in rare)))
 
 
 def _rarity(trigram: str) -> tuple[int, str]:
