@@ -263,3 +263,24 @@ def test_order_and_partitions_do_not_matter(spark):
     assert want == got
     finding = lambda x: sorted((r.kind, r.key, r.edges, str(r.members)) for r in FI.cluster_findings(x).collect())
     assert finding(e) == finding(e.repartition(5))
+
+
+def line_documents(spark, folder):
+    """Documents with lines that more than 50 of them hold, as a table, and their lines."""
+    r = random.Random(8)
+    texts = ["hot one\nhot two"] * 60 + ["hot one\nhot two\nrare " + str(i % 3) for i in range(9)] + ["hot one\nalone " + str(i) for i in range(5)]
+    texts += ["\n".join(f"line {r.randrange(12)}" for _ in range(r.randint(0, 4))) for _ in range(80)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return {str(i): {x for x in t.split("\n") if len(x) >= 2} for i, t in enumerate(texts)}
+
+
+def test_documents_share_lines_of_any_number(spark, tmp_path, monkeypatch):
+    from weftgraph.plans import registry
+
+    lines = line_documents(spark, tmp_path)
+    want = {(a, b): n for a in lines for b in lines if a < b and (n := len(lines[a] & lines[b])) >= 2}
+    assert len(want) > 60 * 59 // 2
+    for block in (CH.PAIR_BLOCK, 2):
+        monkeypatch.setattr(CH, "PAIR_BLOCK", block)
+        got = registry.affinity_documents(spark, str(tmp_path)).collect()
+        assert {(x.a, x.b): x.shared for x in got} == want and len(got) == len(want)

@@ -12,16 +12,39 @@ from weftgraph.operators.graph import Store, store
 from weftgraph.operators.modules import dependencies
 
 
-def shared_pairs(links: DataFrame, least: int = K.SHARED_NEIGHBOURS, most_users: int | None = None) -> DataFrame:
-    """(grp, a, b) members of a group that share so many neighbours (grp, member, neighbour). With most_users,
-    neighbours that more members have don't count."""
-    links = links.select("grp", "member", "neighbour").distinct()
-    if most_users is not None:
-        few = links.groupBy("grp", "neighbour").agg(F.count("*").alias("n")).where(F.col("n") <= most_users)
-        links = links.join(few.select("grp", "neighbour"), ["grp", "neighbour"], "left_semi")
-    a, b = links.withColumnRenamed("member", "a"), links.withColumnRenamed("member", "b")
-    pairs = a.join(b, ["grp", "neighbour"]).where("a < b")
-    return pairs.groupBy("grp", "a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+#: Sets that hold a neighbour are paired in blocks of about so many.
+PAIR_BLOCK = 1000
+
+
+def _shared_links(links: DataFrame, least: int) -> DataFrame:
+    """Distinct links without those that no pair can share: of neighbours with one member, and of members with
+    fewer neighbours than least after that. Neighbours become their SHA-1, as they may be long."""
+    links = links.select("grp", "member", F.unhex(F.sha1(F.col("neighbour").cast("string"))).alias("neighbour")).distinct()
+    common = links.groupBy("grp", "neighbour").agg(F.count("*").alias("n")).where("n > 1")
+    links = links.join(common.select("grp", "neighbour"), ["grp", "neighbour"], "left_semi")
+    wide = links.groupBy("grp", "member").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return links.join(wide.select("grp", "member"), ["grp", "member"], "left_semi")
+
+
+def shared_pairs(links: DataFrame, least: int = K.SHARED_NEIGHBOURS, keep: Store = store) -> DataFrame:
+    """(grp, a, b, shared) members of a group that share so many neighbours (grp, member, neighbour). Members with
+    equal neighbours stand as one set, so neighbours are compared once for each two sets, and pairs of sets are
+    spread to their members at the end."""
+    sets = _shared_links(links, least).groupBy("grp", "member").agg(F.array_sort(F.collect_list("neighbour")).alias("hood"))
+    sets = keep(sets, "neighbourhoods")
+    reps = sets.groupBy("grp", "hood").agg(F.min("member").alias("rep"), F.size("hood").alias("shared"))
+    reps = keep(reps, "sets")
+    member = keep(sets.join(reps.drop("shared"), ["grp", "hood"]).select("grp", "rep", "member"), "members")
+    ends = reps.select("grp", "rep", F.explode("hood").alias("neighbour"))
+    blocks = ends.groupBy("grp", "neighbour").agg(F.count("*").alias("n")).where("n > 1").select("grp", "neighbour", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks"))
+    ends = ends.join(blocks, ["grp", "neighbour"])
+    a = ends.select("grp", "neighbour", F.col("rep").alias("rep_a"), F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"))
+    b = ends.select("grp", "neighbour", F.col("rep").alias("rep_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = a.join(b, ["grp", "neighbour", "block"]).where("rep_a < rep_b").groupBy("grp", "rep_a", "rep_b").agg(F.count("*").cast("long").alias("shared")).where(F.col("shared") >= least)
+    pairs = pairs.unionByName(reps.select("grp", F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.col("shared").cast("long").alias("shared")))
+    out = pairs.join(member.select("grp", F.col("rep").alias("rep_a"), F.col("member").alias("m")), ["grp", "rep_a"]).join(member.select("grp", F.col("rep").alias("rep_b"), F.col("member").alias("n")), ["grp", "rep_b"])
+    out = out.where("rep_a <> rep_b OR m < n")
+    return out.select("grp", F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b"), "shared")
 
 
 def dir_cohesion(edges: DataFrame, keep: Store = store) -> DataFrame:
@@ -37,7 +60,7 @@ def dir_cohesion(edges: DataFrame, keep: Store = store) -> DataFrame:
     outside = across.groupBy(F.col("b_dir").alias("dir")).agg(F.count("*").alias("external_edges"), F.count_distinct("a_dir").alias("external_fan_in"))
     # Counted apart: neighbours used, and neighbours that use.
     links = across.select(F.col("a_dir").alias("grp"), F.col("a_file").alias("member"), F.concat(F.lit(">"), "b_file").alias("neighbour")).union(across.select(F.col("b_dir"), F.col("b_file"), F.concat(F.lit("<"), "a_file")))
-    joined = inner.select(F.col("a_file").alias("a"), F.col("b_file").alias("b")).union(shared_pairs(links).select("a", "b"))
+    joined = inner.select(F.col("a_file").alias("a"), F.col("b_file").alias("b")).union(shared_pairs(links, keep=keep).select("a", "b"))
     group = connected_components(joined, keep).select(F.col("node").alias("file"), "component")
     grouped = files.join(sizes.select("dir"), "dir", "left_semi").join(group, "file", "left").withColumn("component", F.coalesce("component", "file"))
     parts = grouped.groupBy("dir", "component").agg(F.array_sort(F.collect_list("file")).alias("files"))
@@ -60,7 +83,7 @@ def file_splits(edges: DataFrame, keep: Store = store) -> DataFrame:
     calls = calls.join(defs.select(F.col("id").alias("callee"), F.col("file").alias("callee_file")), "callee").where("caller <> callee")
     calls = calls.join(large.select("file"), "file", "left_semi").select("file", "caller", "callee", "callee_file").distinct()
     direct = calls.where("file = callee_file").select(F.col("caller").alias("a"), F.col("callee").alias("b"))
-    near = shared_pairs(calls.select(F.col("file").alias("grp"), F.col("caller").alias("member"), F.col("callee").alias("neighbour"))).select("a", "b")
+    near = shared_pairs(calls.select(F.col("file").alias("grp"), F.col("caller").alias("member"), F.col("callee").alias("neighbour")), keep=keep).select("a", "b")
     group = connected_components(direct.union(near), keep).select(F.col("node").alias("id"), "component")
     rows = defs.join(group, "id").join(large.select("file"), "file", "left_semi")
     groups = rows.groupBy("file", "component").agg(F.array_sort(F.collect_list(F.struct(F.col("line").alias("start_line"), "name"))).alias("g")).where(F.size("g") >= K.SPLIT_MEMBERS)

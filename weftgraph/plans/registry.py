@@ -353,7 +353,7 @@ few AS (SELECT line FROM l GROUP BY line HAVING count(*) <= 50),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM l x JOIN l y ON x.line = y.line AND x.doc_id < y.doc_id WHERE x.line IN (SELECT line FROM few) GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT a, b, shared FROM p""")
 def affinity_documents(spark, d):
-    return CH.shared_pairs(_document_lines(spark, d), 2, 50).select("a", "b", "shared")
+    return CH.shared_pairs(_document_lines(spark, d)).select("a", "b", "shared")
 
 
 def _document_lines(spark, d):
