@@ -284,3 +284,19 @@ def test_documents_share_lines_of_any_number(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(CH, "PAIR_BLOCK", block)
         got = registry.affinity_documents(spark, str(tmp_path)).collect()
         assert {(x.a, x.b): x.shared for x in got} == want and len(got) == len(want)
+
+
+def test_components_over_lines_of_any_number(spark, tmp_path):
+    from weftgraph.plans import registry
+
+    lines = line_documents(spark, tmp_path)
+    parent = {x: x for x in lines}
+    for a in lines:
+        for b in lines:
+            if a != b and len(lines[a] & lines[b]) >= 2 and parent[a] != parent[b]:
+                old, new = sorted((parent[a], parent[b]), key=int, reverse=True)
+                parent = {x: new if p == old else p for x, p in parent.items()}
+    sizes = [list(parent.values()).count(p) for p in parent.values()]
+    got = registry.cc_documents(spark, str(tmp_path)).collect()
+    assert {x.node: x.component for x in got} == {x: p for (x, p), n in zip(parent.items(), sizes) if n > 1}
+    assert len(got) > 60

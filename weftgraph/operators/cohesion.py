@@ -47,6 +47,21 @@ def shared_pairs(links: DataFrame, least: int = K.SHARED_NEIGHBOURS, keep: Store
     return out.select("grp", F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b"), "shared")
 
 
+def shared_components(links: DataFrame, keep: Store = store) -> DataFrame:
+    """(grp, a, b) edges that connect the same members as shared_pairs with two neighbours: each two neighbours of a
+    member lead to the smallest member that has both. Rows grow with the neighbours of a member, not with its peers."""
+    hoods = _shared_links(links, 2).groupBy("grp", "member").agg(F.array_sort(F.collect_list("neighbour")).alias("hood"))
+    hoods = keep(hoods, "neighbourhoods")
+    # Members with equal neighbours lead to one of them, which stands for all.
+    reps = keep(hoods.groupBy("grp", "hood").agg(F.min("member").alias("rep")), "sets")
+    equal = hoods.join(reps, ["grp", "hood"]).select("grp", F.col("rep").alias("a"), F.col("member").alias("b"))
+    firsts = reps.select("grp", "rep", "hood", F.posexplode("hood").alias("at", "x"))
+    twos = firsts.select("grp", "rep", "x", F.explode(F.slice("hood", F.col("at") + 2, F.size("hood"))).alias("y"))
+    least = twos.groupBy("grp", "x", "y").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    star = twos.join(least, ["grp", "x", "y"]).select("grp", "a", F.col("rep").alias("b"))
+    return equal.unionByName(star).where("a <> b").distinct()
+
+
 def dir_cohesion(edges: DataFrame, keep: Store = store) -> DataFrame:
     """(dir, files, internal_edges, external_edges, external_fan_in, clusters): directories of three files or more
     that three others reach into or that hold two real groups. Files are grouped by direct edges and by two

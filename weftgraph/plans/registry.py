@@ -367,7 +367,7 @@ p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM l x JOIN l y ON x.line = y.line A
 walk AS (SELECT a AS node, a AS other FROM p UNION SELECT w.node, p.b FROM walk w JOIN p ON p.a = w.other)
 SELECT CAST(node AS VARCHAR) AS node, CAST(min(other) AS VARCHAR) AS component FROM walk GROUP BY node""")
 def cc_documents(spark, d):
-    pairs = CH.shared_pairs(_document_lines(spark, d), 2, 50).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    pairs = CH.shared_components(_document_lines(spark, d)).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     out = connected_components(pairs, G.store)
     return out.select(F.col("node").cast("string").alias("node"), F.col("component").cast("string").alias("component"))
 
