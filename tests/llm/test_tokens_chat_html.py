@@ -162,3 +162,16 @@ def test_pages(spark):
     got = sorted(tuple(r) for r in H.extract(df).collect())
     assert got == sorted([(i, f"u{i}", w, len(w)) for i, (_, w) in enumerate(PAGES)] + [(0, "u0", WANT, len(WANT))])
     assert H.extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("page", [
+    *(f"<body><nav><a href=/>Home</a></nav><div class='{c}'><article>{ARTICLE}</article></div><div class='ad-1 top'>Buy</div></body>" for c in ("content has-sidebar", "no-sidebar", "comments-enabled", "elementor-widget", "widget", "modal-wrapper")),
+    *(f"<body><div {a}>{ARTICLE}</div><div id='comments' class='comments-area'><p>{'so nice ' * 90}</p></div></body>" for a in ("id=discussion", "class='content has-sidebar'", "class='page-wrapper comments-enabled'")),
+    f"<body><article class='post no-comments'><div class=entry-header>{ARTICLE[:25]}</div>{ARTICLE[25:]}</article></body>",
+    f"<body><article><div class=header>{ARTICLE[:25]}</div>{ARTICLE[25:]}</article></body>",
+    f"<body><form action=/page><div role=banner>Site</div><main>{ARTICLE}</main><div class=sidebar>x</div></form></body>",
+    f"<body><div class=overlay><div class=social>like</div>{ARTICLE}</div></body>",
+    f"<body><article>{ARTICLE}</article><div id=comments><article class=comment-body><p>{'so nice ' * 90}</p></article></div></body>",
+])
+def test_wrappers_keep_their_articles(page):
+    assert H.main_text(page) == WANT

@@ -31,17 +31,37 @@ DROPPED = frozenset("nav footer aside form button select dialog menu head".split
 MAIN = frozenset(("article", "main"))
 #: Elements that a following block of these kinds closes.
 OPEN_ENDED = {"p": BLOCKS, "li": frozenset(("li",)), "dd": frozenset(("dt", "dd")), "dt": frozenset(("dt", "dd")), "option": frozenset(("option",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "tr": frozenset(("tr",))}
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo|banner|cookies?|consent|notices?|alert|popup|modal|overlay|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|header|comments?|comment-?list|replies|disqus|discussion|share|sharing|social|related|recommended|newsletter|subscribe|signup|pagination|pager|skip-?link|toolbar|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+CLOSES: dict[str, list[str]] = {}
+for _tag, _ends in OPEN_ENDED.items():
+    for _end in _ends:
+        CLOSES.setdefault(_end, []).append(_tag)
+#: A class or id is unwanted if its hyphenated parts are these words, with none but BESIDE or digits besides.
+NAMED = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist reply replies disqus share sharing social related recommended newsletter subscribe signup pagination pager skiplink toolbar widget".split())
+BESIDE = frozenset("left right top bottom site page post user reader global primary secondary list bar box area block wrapper wrap container inner outer link links button buttons icons posts articles stories items form section body skip".split())
+HEADERS = frozenset("header masthead siteheader site-header site_header pageheader page-header page_header".split())
+REMARKS = frozenset("comment comments commentlist reply replies disqus".split())
+#: What makes an article or main itself unwanted.
+NAMED_MAIN = REMARKS | frozenset("ad ads advert promo related".split())
+PARTS = re.compile(r"[_-]+")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 SPACE = re.compile(r"\s+")
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not inside):
+def _named(value: str, words: frozenset[str]) -> set[str]:
+    """The words in those tokens of a class or id that are nothing else."""
+    out: set[str] = set()
+    for token in value.lower().split():
+        parts = {x for x in PARTS.split(token) if x and not x.isdigit()}
+        if parts <= words | BESIDE:
+            out |= parts & words
+    return out
+
+
+def _unwanted(tag: str, attributes: str, inside: bool, holds_main: bool = False, holds_most: bool = False) -> bool:
+    """holds_main: an article or main is in it; holds_most: most of the page's text is. Neither goes for a name,
+    a role or a form's sake; remarks may be most of a page."""
+    if (tag in DROPPED and not (tag == "form" and (holds_main or holds_most))) or (tag == "header" and not inside):
         return True
     if not attributes.strip() or tag in ("html", "body"):
         return False
@@ -49,15 +69,52 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and tag not in MAIN and NAMED.search(value):
-            return True
-        if tag in MAIN and name in ("class", "id") and re.search(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|ads?|advert|promo|related)(?:$|[\s_-])", value, re.IGNORECASE):
+        if holds_main:
+            continue
+        if name == "role" and value.lower() in ROLES and not holds_most:
             return True
+        if name in ("class", "id"):
+            named = _named(value, NAMED_MAIN if tag in MAIN else NAMED)
+            if named & REMARKS or (named and not holds_most):
+                return True
+            if tag not in MAIN and not inside and not holds_most and not HEADERS.isdisjoint(value.lower().split()):
+                return True
     return False
 
 
+def _extents(html: str) -> dict[int, tuple[bool, bool]]:
+    """Of elements with attributes, and forms, by where they start: whether they hold a wanted article or main,
+    and whether they hold most of the page's text. An element ends where skipping it would."""
+    opened: dict[str, list[tuple[int, int, int]]] = {}
+    found: list[tuple[int, int, int]] = []
+    at = text = mains = 0
+
+    def end(tag: str):
+        if stack := opened.get(tag):
+            start, t, n = stack.pop()
+            found.append((start, text - t, mains - n))
+
+    for m in TOKEN.finditer(html):
+        text += len(html[at : m.start()].strip())
+        at = m.end()
+        tag = (m[3] or "").lower()
+        if not tag or tag in VOID:
+            continue
+        if m[2]:
+            end(tag)
+            continue
+        for ended in CLOSES.get(tag, ()):
+            end(ended)
+        wanted = tag in MAIN and not _unwanted(tag, m[4] or "", True)
+        opened.setdefault(tag, []).append((m.start(), text, mains + wanted))
+        mains += wanted
+    text += len(html[at:].strip())
+    for tag, stack in opened.items():
+        while stack:
+            end(tag)
+    return {start: (n > 0, 2 * t > text) for start, t, n in found if n or 2 * t > text}
+
+
 def lines_of(html: str) -> list[tuple[str, bool]]:
     """(line, whether it may be main text); an article's ends are marked by blank lines."""
     lines: list[tuple[str, bool]] = []
@@ -80,7 +137,7 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
             linked[1] += n
             linked[0] += n if links else 0
 
-    at, skipped_tag = 0, ""
+    at, skipped_tag, extents = 0, "", _extents(html)
     for m in TOKEN.finditer(html):
         text_at(html[at : m.start()])
         at = m.end()
@@ -109,7 +166,7 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
                 inside -= 1
                 lines.extend([("", False)] * WINDOW if not inside else [])
             continue
-        if tag not in VOID and _unwanted(tag, m[4] or "", inside > 0):
+        if tag not in VOID and _unwanted(tag, m[4] or "", inside > 0, *extents.get(m.start(), (False, False))):
             close()
             skipping, depth, skipped_tag = 1, 1, tag
             if not inside:
