@@ -175,3 +175,13 @@ def test_pages(spark):
 ])
 def test_wrappers_keep_their_articles(page):
     assert H.main_text(page) == WANT
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<body><div><p>First part.</p><div class=ad>a</div><aside>b</aside><form>c</form><p>The second part is longer.</p></div></body>", "First part.\nThe second part is longer."),
+    ("<body><div><p>First part.</p><p><a href=1>a</a><p><a href=2>b</a><p><a href=3>c</a><p>The second part is longer.</p></div></body>", "First part.\nThe second part is longer."),
+    (f"<body><article>{ARTICLE}</article><nav>n</nav><article><p>More of it.</p></article><footer>f</footer></body>", WANT + "\nMore of it."),
+    (f"<body><div><p>Before.</p><main>{ARTICLE}</main><p>After.</p></div></body>", f"Before.\n{WANT}\nAfter."),
+])
+def test_all_regions_are_kept(page, want):
+    assert H.main_text(page) == want

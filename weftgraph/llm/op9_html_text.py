@@ -3,7 +3,7 @@
 Markup is stripped to lines, one a block; lines of menus, footers, forms, adverts, comments and the like
 count as blank, as do lines of mere links outside an article, and an article's ends add blank lines. Text
 lengths are summed over sliding windows of lines. Where the sum surges from nothing a region begins, where
-it dives to nothing the region ends; the region with most text is kept whole.
+it dives to nothing the region ends; the lines of all regions are joined.
 
 Defined results: null, empty or textless html gives the empty string; cut-off markup ends with the page;
 equal rows are extracted each; an empty table gives no rows; further columns are ignored.
@@ -184,19 +184,16 @@ def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
     sizes = [len(t) if wanted else 0 for t, wanted in lines]
     #: Window k sums the WINDOW lines from k on; it is positive where one of them holds text.
-    best, best_size, k, n = (0, 0), 0, 0, len(sizes)
+    kept, k, n = [], 0, len(sizes)
     while k < n:
         if not sizes[k]:
             k += 1
             continue
-        surge, size, last = k, 0, k
+        surge = k
         while k < n and sum(sizes[k : k + WINDOW]):
-            if sizes[k]:
-                size, last = size + sizes[k], k
             k += 1
-        if size > best_size:
-            best, best_size = (surge, last + 1), size
-    return "\n".join(t for t, wanted in lines[slice(*best)] if t and wanted)
+        kept += lines[surge:k]
+    return "\n".join(t for t, wanted in kept if t and wanted)
 
 
 def _extract(batches):
