@@ -73,6 +73,13 @@ def test_without_copies(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == want
 
 
+def test_one_copy_stays_for_any_ids(spark):
+    t, u, v = (words(random.Random(i), 40) for i in (2, 3, 4))
+    rows = [(7, t), (7, t), (3, t + " x"), (None, t), (7, "other words are here"), (5, u), (5, u), (None, v), (None, v), (9, u), (9, "a word apart")]
+    got = N.without_copies(docs(spark, [x for _, x in rows], [i for i, _ in rows])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("3", t + " x"), ("7", "other words are here"), ("5", u), ("None", v), ("9", "a word apart")])
+
+
 def test_tokens_estimate_similarity():
     r = np.random.default_rng(1)
     pool = r.integers(0, 1 << 64, 120_000, np.uint64)

@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import only, small_batches, stored, table
@@ -149,7 +149,7 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         a = b
 
 
-SETS = "doc_id long, n_shingles long, set_a long, set_b long, tokens binary"
+SETS = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, tokens binary"
 
 
 def _names(schema: str) -> list[str]:
@@ -181,7 +181,7 @@ def _setting(join: Join) -> Callable:
                         set_b[n > 0] = np.add.reduceat(mix(every ^ _place[0]), cuts)
                         minwise[n > 0] = tokens(full)
                     raw = pa.Array.from_buffers(pa.binary(TOKENS * 4), len(sets), [None, pa.py_buffer(minwise.tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at + a, len(part)), pa.array(n), _long(set_a), _long(set_b), raw], _names(SETS))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at + a, len(part)), batch.column("text_hash").slice(at + a, len(part)), pa.array(n), _long(set_a), _long(set_b), raw], _names(SETS))
 
     return run
 
@@ -414,40 +414,62 @@ def _sketching(batches):
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n_shingles"), raw], ["node", "n_shingles", "sketch"])
 
 
-def near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, set_a, set_b) of each row."""
+def _text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"].cast("string"))
+
+
+def _grouped(docs: DataFrame, join: Join | None = None) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component, component_id, set_a, set_b) of each row; rows without shingles have
+    no component. Ids may repeat, so a row is found by its id and its text's hash."""
     join = join or Join()
-    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = small_batches(docs)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash(docs).alias("text_hash"))
     sets = stored(docs.mapInArrow(_setting(join), SETS), "sets")
     full = sets.where("n_shingles > 0")
-    nodes = full.groupBy("set_a", "set_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "n_shingles", "tokens")).alias("x"))
-    nodes = stored(nodes.select(F.col("set_a").alias("node"), "x.doc_id", "x.n_shingles", "x.tokens"), "nodes")
+    nodes = full.groupBy("set_a", "set_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash", "n_shingles", "tokens")).alias("x"))
+    nodes = stored(nodes.select(F.col("set_a").alias("node"), "x.doc_id", "x.text_hash", "x.n_shingles", "x.tokens"), "nodes")
     candidates = connected_components(_tree_edges(nodes, join), stored)
     # Those with a candidate, and how many blocks their group needs.
-    members = candidates.select("node", F.col("component").alias("cluster")).join(nodes.select("node", "doc_id", "n_shingles"), "node")
+    members = candidates.select("node", F.col("component").alias("cluster")).join(nodes.select("node", "doc_id", "text_hash", "n_shingles"), "node")
     members = stored(members, "members")
     sizes = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / join.block, F.sum("n_shingles") / join.block_shingles)).alias("blocks"))
-    members = members.join(sizes, "cluster").select("node", "cluster", "doc_id", "blocks")
+    members = members.join(sizes, "cluster").select("node", "cluster", "doc_id", "text_hash", "blocks")
     few = members.count() <= BROADCAST_MEMBERS
     members = F.broadcast(members) if few else members
-    texts = docs.join(members, docs["doc_id"].eqNullSafe(members["doc_id"])).select("node", "cluster", "blocks", "text")
+    texts = docs.join(members, docs["doc_id"].eqNullSafe(members["doc_id"]) & (docs["text_hash"] == members["text_hash"])).select("node", "cluster", "blocks", "text")
     texts = _blocked(texts, "cluster", F.col("blocks")).select("node", "text", *CLUSTER_KEYS)
     confirmed = texts.repartition(*CLUSTER_KEYS).sortWithinPartitions(*CLUSTER_KEYS).mapInArrow(_confirming(join), "a long, b long")
     linked = connected_components(confirmed, stored)
     named = nodes.select("node", "doc_id").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    names = named.join(least, "component").select(F.col("node").alias("set_a"), "component_id")
-    rows = full.drop("tokens").join(names, "set_a").unionByName(sets.where("n_shingles = 0").drop("tokens").withColumn("component_id", F.col("doc_id")))
+    names = named.join(least, "component").select(F.col("node").alias("set_a"), "component", "component_id")
+    empty = sets.where("n_shingles = 0").drop("tokens").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    return full.drop("tokens").join(names, "set_a").unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, set_a, set_b) of each row."""
+    rows = _grouped(docs, join)
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "set_a", "set_b")
 
 
 def without_copies(docs: DataFrame, join: Join | None = None) -> DataFrame:
-    """The rows of docs that are their component's smallest id, with their columns. Rows that repeat that
-    id stay too, as do rows with null ids or empty sets."""
-    found = near_duplicates(docs, join)
-    dropped = stored(found.where("NOT kept AND n_shingles > 0").select("doc_id").distinct(), "copies")
-    wide = F.broadcast(dropped) if dropped.count() <= BROADCAST_MEMBERS else dropped
-    return docs.join(wide.select(F.col("doc_id").alias("_id")), docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    """One row of each component, of its smallest id, with its columns; null ids come last, and of several texts with
+    that id one stays. Rows with empty sets all stay."""
+    keys = _grouped(docs, join).where("n_shingles > 0").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    keys = keys.select("component", "n", F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash").alias("key"))
+    groups = keys.groupBy("component").agg(F.min("key").alias("first"), F.sum("n").alias("rows")).where(F.col("rows") > 1)
+    keys = keys.join(groups, "component").withColumn("goes", F.col("key") != F.col("first")).where(F.col("goes") | (F.col("n") > 1))
+    keys = stored(keys.select(F.col("key.doc_id").alias("_copy_id"), F.col("key.text_hash").alias("_copy_hash"), "goes"), "copies")
+
+    def among(rows: DataFrame, how: str) -> DataFrame:
+        rows = rows.select("_copy_id", "_copy_hash")
+        wide = F.broadcast(rows) if few else rows
+        return docs.join(wide, docs["doc_id"].cast("long").eqNullSafe(wide["_copy_id"]) & (_text_hash(docs) == wide["_copy_hash"]), how)
+
+    few = keys.count() <= BROADCAST_MEMBERS
+    kept, again = among(keys, "left_anti"), keys.where("NOT goes")
+    return kept if again.isEmpty() else kept.unionByName(among(again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
