@@ -6,12 +6,13 @@ takes no room. An index of the chunks (place, ids, size of each plane) and a foo
 id is found by reading one chunk.
 
 ``write_tokens`` sorts documents by id over range partitions, each of which writes one file to the shared
-folder (under a temporary name, then renamed, so that a lost executor leaves no half file), and returns
-the documents' places. ``read_tokens`` streams the files back, a chunk at a time.
+folder. Its name holds the attempt that wrote it, and so do the documents' places, which are returned: a file
+that a lost or repeated attempt left is never read. ``read_tokens`` streams the files back, a chunk at a time.
 
 Defined results: null texts and empty texts hold the end id alone; rows with equal doc_id keep their
-multiplicity, in any order among themselves; null ids come first; an empty table gives no files and no
-rows; further columns are ignored.
+multiplicity, in the order of their texts' hashes (ranges cut through them, so that an id that many rows
+share fills no single file); null ids come first; an empty table gives no files and no rows; further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -122,6 +123,10 @@ class PlaneReader:
             yield self.chunk(k)[(start % self.block) * 4 if k == start // self.block else 0 :]
 
 
+def _name(path: str, part: int, attempt: int) -> str:
+    return f"{path}/ids-{part:06d}-{attempt}.planes"
+
+
 def _writing(folder: str, vocabulary: str, block: int, planes: str) -> Callable:
     def write(batches):
         import pyarrow as pa
@@ -129,15 +134,14 @@ def _writing(folder: str, vocabulary: str, block: int, planes: str) -> Callable:
 
         files, path = open_uri(folder)
         task = TaskContext.get()
-        part = task.partitionId()
-        name, temporary = f"{path}/ids-{part:06d}.planes", f"{path}/.{part:06d}-{task.taskAttemptId()}"
+        part, attempt = task.partitionId(), task.taskAttemptId()
         writer, out, at = None, None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             if writer is None:
                 files.create_dir(path, recursive=True)
-                out = files.open_output_stream(temporary)
+                out = files.open_output_stream(_name(path, part, attempt))
                 writer = PlaneWriter(out, block, planes)
             lengths = []
             for a in range(0, batch.num_rows, 500):
@@ -148,27 +152,27 @@ def _writing(folder: str, vocabulary: str, block: int, planes: str) -> Callable:
             n = np.array(lengths, np.int64)
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n)], ["doc_id", "part", "at", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(np.full(len(n), attempt)), pa.array(starts), pa.array(n)], ["doc_id", "part", "attempt", "at", "n_tokens"])
         if writer is not None:
             writer.close()
             out.close()
-            files.move(temporary, name)
 
     return write
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, block: int = BLOCK, planes: str = "byte") -> tuple[str, DataFrame]:
-    """The folder of the files, and (doc_id, part, at, n_tokens, start): part is the file's number, at and
-    start the ids before the document in its file and in all of them."""
+    """The folder of the files, and (doc_id, part, attempt, at, n_tokens, start): part and attempt name the file,
+    at and start are the ids before the document in its file and in all of them."""
     spark = docs.sparkSession
     folder = fresh_path(spark, "tokens")
     docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    placed = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    index = stored(placed.mapInArrow(_writing(folder, vocabulary, block, planes), "doc_id long, part int, at long, n_tokens long"), "token-index")
+    order = (F.col("doc_id").asc_nulls_first(), "_h", "_row")
+    placed = docs.withColumns({"_h": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    index = stored(placed.mapInArrow(_writing(folder, vocabulary, block, planes), "doc_id long, part int, attempt long, at long, n_tokens long"), "token-index")
     # One row a file, so the window's single partition is bounded by the number of files.
     totals = index.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
     before = totals.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
-    return folder, index.join(F.broadcast(before), "part").select("doc_id", "part", "at", "n_tokens", (F.col("at") + F.col("before")).alias("start"))
+    return folder, index.join(F.broadcast(before), "part").select("doc_id", "part", "attempt", "at", "n_tokens", (F.col("at") + F.col("before")).alias("start"))
 
 
 def _reading(folder: str) -> Callable:
@@ -179,11 +183,11 @@ def _reading(folder: str) -> Callable:
         now, file, stream, rest, at = None, None, iter(()), b"", 0
         for batch in batches:
             crcs = []
-            for part, start, n in zip(batch.column("part").to_pylist(), batch.column("at").to_pylist(), batch.column("n_tokens").to_pylist()):
+            for part, attempt, start, n in zip(*(batch.column(c).to_pylist() for c in ("part", "attempt", "at", "n_tokens"))):
                 if part != now or start != at:
                     if file is not None:
                         file.close()
-                    name = f"{path}/ids-{part:06d}.planes"
+                    name = _name(path, part, attempt)
                     file = files.open_input_file(name)
                     stream, rest, now, at = PlaneReader(file, files.get_file_info(name).size).stream(start), b"", part, start
                 left, crc = n * 4, 0
