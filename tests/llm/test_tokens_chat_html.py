@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import docs, words
 from weftgraph.llm import op7_token_output as T
@@ -23,7 +24,6 @@ def expected(vocabulary, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary)
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
 
 
@@ -37,11 +37,35 @@ def test_words_encode_as_texts_do(texts):
     from weftgraph.llm.tokens import default_vocabulary
 
     if not hasattr(test_words_encode_as_texts_do, "e"):
-        test_words_encode_as_texts_do.e = WordEncoder(default_vocabulary(), cache_words=50)
+        test_words_encode_as_texts_do.e = WordEncoder(default_vocabulary(), cache_bytes=2000)
     e = test_words_encode_as_texts_do.e
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+PIECES = ["a", "B", "the", "ing", "é", "É", "e\u0301", "ß", "İ", "Σ", "ς", "ſ", "я", "中", "\u200d", "🙂", "\0", "\x1c", "\x85", "\u0301", "ﬁ", "'", "'s", "'RE", "<", "|", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", " ", "\n", "\t", "1", "²", "-", "...", "$", "_", "AKIA"]
+
+
+def test_hard_signs_encode_as_the_library_does(vocabulary, monkeypatch):
+    r = random.Random(3)
+    signs = [f(chr(c)) for c in [*range(0x600), 0x1E9E, 0x2029, 0x3000, 0x1F600] for f in (lambda x: x, lambda x: "ab" + x + "Cd", lambda x: "'" + x, lambda x: x + x + " " + x + "1")]
+    texts = signs + ["".join(r.choice(PIECES) for _ in range(r.randint(0, 14))) for _ in range(3000)] + ["y" * 5000, "a" + "." * 300]
+    e = WordEncoder(vocabulary)
+    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert e.merges and e.encode(texts) == want
+    monkeypatch.setattr("weftgraph.llm.tokens.SLICE", 50)
+    small = WordEncoder(vocabulary, cache_bytes=4000)
+    assert small.encode(texts[-1000:]) == want[-1000:] and small.known.nbytes <= 4000
+    assert small.encode([" ".join(texts)]) == [b"".join(want)]
+
+
+def test_other_vocabularies_go_to_the_library():
+    import public_tokenizers
+
+    e = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["The  cat's\n <|endoftext|> É", "", None]
+    assert e.merges is None and e.encode(texts) == [np.array(e.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_planes_round_trip(planes):
     ids = np.random.default_rng(1).integers(0, 50_000, 1000).astype("<u4")
@@ -62,7 +86,8 @@ def test_token_files(spark, vocabulary):
     texts = [*TEXTS, *(words(r, r.randint(0, 300)) for _ in range(40))]
     ids = [*(50 - i for i in range(len(texts) - 2)), 7, 7]
     ids[0] = None
-    got = T.read_tokens(*T.write_tokens(docs(spark, texts, ids), vocabulary, block=128)).collect()
+    given = docs(spark, texts, ids).withColumns({"part": F.lit("p"), "attempt": F.lit(1), "_h": F.lit(2), "_row": F.lit(3), "at": F.lit(4)})
+    got = T.read_tokens(*T.write_tokens(given, vocabulary, block=128)).collect()
     want = expected(vocabulary, texts)
     assert sorted((str(x.doc_id), x.n_tokens, x.ids_crc32) for x in got) == sorted((str(i), len(w), crc(w)) for i, w in zip(ids, want))
     at = 0
