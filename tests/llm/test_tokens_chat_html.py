@@ -210,3 +210,39 @@ def test_wrappers_keep_their_articles(page):
 ])
 def test_all_regions_are_kept(page, want):
     assert H.main_text(page) == want
+
+
+SITE = "<body><div><div>The Site</div></div><div><div><p>Est. 1990</p></div></div><div class=wrap><div class=inner>"
+LONG = "<p>" + "a long line of the main text " * 5 + "</p><p>Short.</p><p>" + "and another line of it " * 6 + "</p><p>The end.</p>"
+ENDS = "</div></div><div><div><div><p>All rights reserved</p></div></div></div></body>"
+
+
+def test_windows_decide():
+    """Nothing in this page has a name: lone lines go as their windows hold little, short lines of the text stay."""
+    text = "\n".join(["a long line of the main text " * 5, "Short.", "and another line of it " * 6, "The end."]).replace(" \n", "\n")
+    page = f"{SITE}<div><div>{LONG}</div></div>{ENDS}"
+    assert H.main_text(page) == text
+    every = "\n".join(t for t, w in H.lines_of(page) if w)
+    assert every == f"The Site\nEst. 1990\n{text}\nAll rights reserved"
+    adverts = "<div class=ad>a</div><div class=ads>b</div><div class=advert>c</div>"
+    assert H.main_text(f"<body><div>{LONG}{adverts}<p>More.</p></div></body>") == text + "\nMore."
+    assert H.main_text(f"<article>{LONG}<section id=discussion><p>D.</p></section><div class=related-work>R.</div></article><article><p>More.</p></article>") == text + "\nD.\nR.\nMore."
+
+
+def brute_regions(weights):
+    best = max((sum(weights[k : k + H.WINDOW]) for k in range(len(weights))), default=0)
+    surge, kept, on = max(1, min(H.SURGE, best // 3)), [], False
+    for k, w in enumerate(weights):
+        here = sum(weights[k : k + H.WINDOW])
+        on = here > 0 and (on or (here >= surge and w > 0))
+        kept.append(on)
+    return kept
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 0, 1, 5, 30, 100]), max_size=40))
+def test_regions_by_brute_force(weights):
+    kept = [False] * len(weights)
+    for a, b in H.regions(weights):
+        kept[a:b] = [True] * (b - a)
+    assert kept == brute_regions(weights)

@@ -1,26 +1,31 @@
 """The main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one a block; lines of menus, footers, forms, adverts, comments and the like
-count as blank, as do lines of mere links outside an article, and an article's ends add blank lines. Text
-lengths are summed over sliding windows of lines. Where the sum surges from nothing a region begins, where
-it dives to nothing the region ends; the lines of all regions are joined.
+Markup is stripped to lines: each tag of a block ends one, so that tags which follow each other leave blank
+lines, and parts of a page that are wrapped apart lie apart. What is no text of the page (scripts, menus, forms,
+adverts, comments and the like, by element, role and whole class names) is stripped with its markup. The lengths
+of what is left, without links, are summed over sliding windows of lines. A region begins where the sum surges
+to ``SURGE`` characters (on pages of short lines, to a third of the page's densest window), and ends where it
+dives to nothing. The lines of all regions are joined; what lies between them, such as lone lines of a site's
+name, of rights or of menus without a name, goes. An article or main element is itself worth a surge, so short
+articles are found, and lines beside them.
 
 Defined results: null, empty or textless html gives the empty string; cut-off markup ends with the page;
-equal rows are extracted each; an empty table gives no rows; further columns are ignored.
+equal rows are extracted each; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import small_batches, table
 
-#: Lines in a window.
-WINDOW = 3
+#: Lines in a window, and characters in it from which a region begins.
+WINDOW, SURGE = 4, 80
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
@@ -115,19 +120,21 @@ def _extents(html: str) -> dict[int, tuple[bool, bool]]:
     return {start: (n > 0, 2 * t > text) for start, t, n in found if n or 2 * t > text}
 
 
-def lines_of(html: str) -> list[tuple[str, bool]]:
-    """(line, whether it may be main text); an article's ends are marked by blank lines."""
-    lines: list[tuple[str, bool]] = []
+def lines_of(html: str) -> list[tuple[str, int]]:
+    """(line, its weight): blank lines and those of mere links outside an article have none; others as many as
+    characters outside links, one at least, and in an article those of a surge besides."""
+    lines: list[tuple[str, int]] = []
     parts: list[str] = []
     linked = [0, 0]  # characters in links, and in all
     inside = skipping = depth = links = 0
 
     def close():
-        if parts:
-            text = SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
-            if text:
-                lines.append((text, inside > 0 or linked[0] < 0.6 * linked[1]))
-            parts.clear()
+        text = SPACE.sub(" ", html_lib.unescape("".join(parts))).strip() if parts else ""
+        if inside:
+            lines.append((text, SURGE + len(text) if text else 0))
+        else:
+            lines.append((text, max(1, linked[1] - linked[0]) if text and linked[0] < 0.6 * linked[1] else 0))
+        parts.clear()
         linked[:] = 0, 0
 
     def text_at(raw: str):
@@ -155,6 +162,11 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
             if not (ends and not closing and tag in ends):
                 continue
             skipping = 0
+        if not closing and tag not in VOID and _unwanted(tag, m[4] or "", inside > 0, *extents.get(m.start(), (False, False))):
+            if parts and tag in BLOCKS:
+                close()
+            skipping, depth, skipped_tag = 1, 1, tag
+            continue
         if tag in BLOCKS:
             close()
         elif tag == "br":
@@ -162,38 +174,35 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
         elif tag == "a":
             links = 0 if closing else 1
         if closing:
-            if tag in MAIN and inside:
-                inside -= 1
-                lines.extend([("", False)] * WINDOW if not inside else [])
-            continue
-        if tag not in VOID and _unwanted(tag, m[4] or "", inside > 0, *extents.get(m.start(), (False, False))):
-            close()
-            skipping, depth, skipped_tag = 1, 1, tag
-            if not inside:
-                lines.append(("", False))
-        elif tag in MAIN:
-            if not inside:
-                lines.extend([("", False)] * WINDOW)
-            inside += 1
+            inside -= tag in MAIN and inside > 0
+        else:
+            inside += tag in MAIN
     text_at(html[at:])
     close()
     return lines
 
 
-def main_text(html: str | None) -> str:
-    lines = lines_of(html or "")
-    sizes = [len(t) if wanted else 0 for t, wanted in lines]
-    #: Window k sums the WINDOW lines from k on; it is positive where one of them holds text.
-    kept, k, n = [], 0, len(sizes)
+def regions(weights: list[int]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of each region between a surge and the next dive."""
+    n = len(weights)
+    total = [0, *accumulate(weights)]
+    window = [total[min(n, k + WINDOW)] - total[k] for k in range(n)]
+    surge = max(1, min(SURGE, max(window, default=0) // 3))
+    out, k = [], 0
     while k < n:
-        if not sizes[k]:
+        if window[k] < surge or not weights[k]:
             k += 1
             continue
-        surge = k
-        while k < n and sum(sizes[k : k + WINDOW]):
+        first = k
+        while k < n and window[k]:
             k += 1
-        kept += lines[surge:k]
-    return "\n".join(t for t, wanted in kept if t and wanted)
+        out.append((first, k))
+    return out
+
+
+def main_text(html: str | None) -> str:
+    lines = lines_of(html or "")
+    return "\n".join(text for a, b in regions([w for _, w in lines]) for text, w in lines[a:b] if w)
 
 
 def _extract(batches):
