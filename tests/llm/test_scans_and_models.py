@@ -158,7 +158,7 @@ def edits(item, text):
 
 def test_leaks(spark):
     r = random.Random(6)
-    items = [words(r, n) for n in (8, 20, 40, 3)] + [None, ""]
+    items = [words(r, n) for n in (8, 20, 40, 3)] + [None, "", "Été à   l'Île", "é" * 30 + " ß " + "ü" * 20]
     benchmark = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id long, text string, doc_id string")
 
     def changed(t, n):
@@ -167,13 +167,17 @@ def test_leaks(spark):
             t[r.randrange(len(t))] = r.choice("xyz")
         return "".join(t)
 
-    texts = [None, "", words(r, 300), f"{words(r, 30)}.\n{items[1].upper()}!\n{words(r, 9)}", changed(items[2], len(items[2]) // 20), items[0], changed(items[1], len(items[1]) // 3), items[1][: len(items[1]) // 2], f"{items[1]} {items[2]}", words(r, 4000) + " " + items[2], items[0]]
-    known = D.Items([(i, n) for i, t in enumerate(items) if len(n := D.normal(t)) >= D.LEAST])
+    texts = [None, "", words(r, 300), f"{words(r, 30)}.\n{items[1].upper()}!\n{words(r, 9)}", changed(items[2], len(items[2]) // 20), items[0], changed(items[1], len(items[1]) // 3), items[1][: len(items[1]) // 2], f"{items[1]} {items[2]}", words(r, 4000) + " " + items[2], items[0], "un été à l île.", "unété à l'île", "é" * 28 + "e ss ß " + "ü" * 20, items[3]]
+    known = D.Items([(i, n) for i, t in enumerate(items) if len(n := D.normal(t))])
     want = set()
     for d, t in enumerate(texts):
         for j, i in enumerate(known.ids):
-            if (e := edits(known.texts[j], D.normal(t))) <= known.k[j]:
+            item, text = D._text(known.texts[j]), D._text(D.normal(t))
+            if len(item) < D.LEAST:
+                want |= {(d, i, 0)} if f" {item} " in f" {text} " else set()
+            elif (e := edits(item, text)) <= known.k[j]:
                 want.add((d, i, e))
+    assert {(11, 6, 0), (14, 3, 0)} <= want and (12, 6, 0) not in want and any(d == 13 for d, _, _ in want)
     df = docs(spark, texts)
     assert {tuple(x) for x in D.find_leaks(df, benchmark).collect()} == want and {(3, 1, 0), (8, 2, 0), (9, 2, 0)} <= want
     assert {tuple(x) for x in D.find_leaks(df, benchmark, most=150).collect()} == want
@@ -183,6 +187,37 @@ def test_leaks(spark):
     assert D.without_leaks(df, benchmark.limit(0)).count() == len(texts)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_regions_in_parts_find_what_alignment_finds(seed, monkeypatch):
+    """Hot q-grams, repeats within items and texts, windows and parts of a few postings."""
+    r = random.Random(seed)
+    phrase = words(r, 4)
+    items = [f"{phrase} {words(r, 5)}" for _ in range(6)] + ["ab" * 20, words(r, 30)]
+    texts = ["", "ab" * 300, f"{words(r, 40)} {items[0]} {phrase} {phrase} {items[3][:-2]}x", " ".join([phrase] * 20), f"{'ab' * 30} {items[7][:60]}qqq{items[7][60:]}"]
+    monkeypatch.setattr(D, "POSTINGS", 50)
+    monkeypatch.setattr(D, "WINDOW", 64)
+    monkeypatch.setattr(D, "REGIONS", 3)
+    known = D.Items([(i, D.normal(t)) for i, t in enumerate(items)])
+    want = {(d, i): e for d, t in enumerate(texts) for i, item in enumerate(items) if (e := edits(D._text(D.normal(item)), D._text(D.normal(t)))) <= known.k[i]}
+    assert known.find([D.normal(t) for t in texts]) == want and len(want) >= 4
+
+
+def test_a_phrase_that_many_items_share_takes_bounded_memory():
+    import time
+    import tracemalloc
+
+    r = random.Random(1)
+    phrase = "which of the following statements is true about"
+    known = D.Items([(i, D.normal(f"{phrase} {words(r, 12)}")) for i in range(1000)])
+    text = D.normal(" ".join(f"{phrase} {words(r, 3)}" for _ in range(250)))
+    began = time.process_time()
+    tracemalloc.start()
+    assert known.find([text]) == {}
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert time.process_time() - began < 60
+
+
 def test_index_finds_every_code_in_the_radius():
     r = np.random.default_rng(3)
     codes = r.integers(0, 1 << 63, (3000, 2), np.int64).view(np.uint64)

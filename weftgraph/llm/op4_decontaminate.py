@@ -1,23 +1,25 @@
 """Benchmark decontamination by the q-gram lemma over diagonal bands.
 
-Texts and items are lower-cased, ASCII signs and white space become single blanks. An item of m bytes is found
-where a region of the text is within k edits of it, k being a tenth of m. Such a region shares at least
+Texts and items are lower-cased, ASCII signs and white space become single blanks. An item of m characters is
+found where a region of the text is within k edits of it, k being a tenth of m. Such a region shares at least
 m - q + 1 - k q of the item's q-grams, and they lie on diagonals (text place less item place) at most k apart;
 so shared q-grams are counted in overlapping bands of 2k diagonals, regions that meet the bound are kept, and
-a banded alignment verifies them.
+a banded alignment verifies them. Items of under ``LEAST`` characters, for which the lemma says little, are found
+where they stand as whole words, without edits, by an automaton over all of them.
 
-The texts don't move: each is scanned whole where it was read. The benchmark is broadcast if it is small
-enough (``BENCHMARK_BYTES``), otherwise block after block of it, each under that bound.
+The texts don't move: each is scanned whole where it was read, in windows that overlap by the longest region, and
+shared q-grams are expanded in parts of at most ``POSTINGS``, cut by windows and then by items. The benchmark
+is broadcast if it is small enough (``BENCHMARK_BYTES``), otherwise block after block of it, each under that bound.
 
-Defined results: null and empty texts and items match nothing, nor do items under ``LEAST`` bytes; repeated
-rows get equal results; null ids are kept; an empty table on either side gives no findings; further columns
-are ignored or, by ``without_leaks``, kept.
+Defined results: null and empty texts and items match nothing; repeated rows get equal results; null ids are kept;
+an empty table on either side gives no findings; further columns are ignored or, by ``without_leaks``, kept,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,139 +29,198 @@ from weftgraph.llm.common import only, small_batches, table
 
 Q, RATE, LEAST = 8, 0.1, 24
 BENCHMARK_BYTES = 32 << 20
-#: Bytes of texts that are worked on at a time (a longer text is one such part).
-SLICE = 1 << 21
+#: Characters of texts that are worked on at a time (a longer text is one such part), and of a window.
+SLICE, WINDOW = 1 << 20, 1 << 13
+#: Shared q-grams that are expanded, and regions that are aligned, at a time.
+POSTINGS, REGIONS = 1 << 20, 1 << 11
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
 
-_blank = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+_blank = np.array([not chr(c).isalnum() for c in range(128)])
 
 
-def normal(text: str | None) -> bytes:
-    raw = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass").translate(_blank), np.uint8)
+def normal(text: str | None) -> np.ndarray:
+    """The characters' code points."""
+    raw = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(raw):
-        return b""
-    keep = np.ones(len(raw), bool)
-    np.not_equal(raw[1:], 32, out=keep[1:])
-    keep[1:] |= raw[:-1] != 32
-    return raw[keep].tobytes().strip()
+        return raw
+    blank = _blank[np.minimum(raw, 127)] & (raw < 128)
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]
+    out = np.where(blank, np.uint32(32), raw)[keep]
+    return out[int(len(out) > 0 and out[0] == 32) : len(out) - int(len(out) > 1 and out[-1] == 32)]
 
 
-def qgrams(data: bytes) -> np.ndarray:
-    """The q-gram at each place, as an integer."""
-    n = len(data) - Q + 1
-    out = np.empty(max(0, n), np.uint64)
-    for o in range(min(Q, n)):
-        part = np.frombuffer(data, "<u8", (n - o + Q - 1) // Q, o)
-        out[o::Q] = part
-    return out
+def qgrams(data: np.ndarray) -> np.ndarray:
+    """A hash of the Q characters from each place on."""
+    out = data.astype(_U) + _U(1)
+    n = 1
+    while n < Q:
+        out = out[:-n] * _U(pow(_BASE, n, 1 << 64)) + out[n:] if len(out) > n else out[:0]
+        n *= 2
+    return out ^ (out >> _U(29))
 
 
 class Items:
-    """The benchmark's q-gram index."""
+    """The benchmark's q-gram index. items: (id, normal text) of one character at least."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         m = np.array([len(t) for t in self.texts], np.int64)
-        self.k = np.minimum((m * RATE).astype(np.int64), (m - Q) // Q)
+        self.long = m >= LEAST
+        self.m = m
+        self.k = np.where(self.long, np.minimum((m * RATE).astype(np.int64), (m - Q) // Q), 0)
         self.step = np.maximum(self.k, 8)
         self.needed = m - Q + 1 - self.k * Q
+        self.most = int(m.max(initial=1))
         #: Added to diagonals, so that bands count from 1.
-        self.shift = int((m + 2 * self.step).max())
-        grams = [qgrams(t) for t in self.texts]
-        every = np.concatenate(grams)
+        self.shift = int((m + 2 * self.step).max(initial=0))
+        #: Characters that a region and its band may span, by which windows overlap.
+        self.span = int((m + 3 * self.step + self.k).max(initial=0)) + Q
+        some = np.flatnonzero(self.long)
+        grams = [qgrams(self.texts[i]) for i in some]
+        every = np.concatenate([np.zeros(0, _U), *grams])
         order = np.argsort(every, kind="stable")
-        self.item = np.repeat(np.arange(len(m)), [len(g) for g in grams])[order]
-        self.offset = np.concatenate([np.arange(len(g)) for g in grams])[order]
-        self.keys, self.first, self.n = np.unique(every[order], return_index=True, return_counts=True)
-        self.bits = np.uint64(64 - min(26, max(16, int(np.ceil(np.log2(len(self.keys) * 64))))))
+        sizes = [len(g) for g in grams]
+        self.item = np.repeat(some, sizes)[order]
+        self.offset = np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in sizes)])[order]
+        self.keys, first = np.unique(every[order], return_index=True)
+        #: Postings in order of (key, item).
+        self.place = np.repeat(np.arange(len(self.keys)), np.diff(np.append(first, len(order)))) * len(items) + self.item
+        self.bits = _U(64 - min(26, max(16, int(np.ceil(np.log2(len(self.keys) * 64 + 1))))))
         self.maybe = np.zeros(1 << (64 - int(self.bits)), bool)
         self.maybe[self._hash(self.keys)] = True
+        self.words = self._automaton()
+
+    def _automaton(self):
+        """Finds the short items, between blanks."""
+        short = np.flatnonzero(~self.long)
+        if not len(short):
+            return None
+        import ahocorasick
+
+        out, same = ahocorasick.Automaton(), {}
+        for i in short.tolist():
+            same.setdefault(" " + _text(self.texts[i]) + " ", []).append(i)
+        for text, those in same.items():
+            out.add_word(text, those)
+        out.make_automaton()
+        return out
 
     def _hash(self, g: np.ndarray) -> np.ndarray:
-        return (g * np.uint64(0x9E3779B97F4A7C15)) >> self.bits
+        return (g * _U(_BASE)) >> self.bits
+
+    def find(self, texts: list[np.ndarray]) -> dict[tuple[int, int], int]:
+        """The least edits of each (text, item) that is found."""
+        out: dict[tuple[int, int], int] = {}
+        if self.words:
+            for t, text in enumerate(texts):
+                out |= {(t, i): 0 for _, those in self.words.iter(" " + _text(text) + " ") for i in those}
+        size = max(WINDOW, 4 * self.span)
+        for t, at, i, low in self._regions([(t, a, text[a : a + size]) for t, text in enumerate(texts) for a in range(0, max(1, len(text) - self.span), size - self.span)]):
+            todo = np.array([out.get(x, 1) > 0 for x in zip(t.tolist(), i.tolist())], bool)
+            t, i, low = t[todo], i[todo], (at + low - self.k[i])[todo]
+            for a in range(0, len(t), REGIONS):
+                part = slice(a, a + REGIONS)
+                for x, y, edits in zip(t[part].tolist(), i[part].tolist(), self._align(texts, t[part], i[part], low[part]).tolist()):
+                    if edits <= self.k[y]:
+                        out[x, y] = min(edits, out.get((x, y), edits))
+        return out
 
-    def regions(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
-        """(text, item, band's first diagonal) where enough q-grams are shared."""
-        data = b"\0".join(texts)
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    def _regions(self, windows: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(text, window's place, item, band's first diagonal in the window) where enough q-grams are shared."""
+        if not windows or not len(self.keys):
+            return
+        data = np.concatenate([x for _, _, w in windows for x in (w, np.zeros(1, np.uint32))])
+        starts = np.cumsum([0, *(len(w) + 1 for _, _, w in windows)])[:-1]
         g = qgrams(data)
         place = np.flatnonzero(self.maybe[self._hash(g)])
-        if not len(place):
-            return []
         k = np.searchsorted(self.keys, g[place])
         k[k == len(self.keys)] = 0
         same = self.keys[k] == g[place]
         place, k = place[same], k[same]
-        n = self.n[k]
-        which = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        place = np.repeat(place, n)
+        window = np.searchsorted(starts, place, side="right") - 1
+        text, at = np.array([t for t, _, _ in windows]), np.array([a for _, a, _ in windows])
+        yield from ((text[w], at[w], i, d) for w, i, d in self._counted(window, place - starts[window], k, 0, len(self.ids)))
+
+    def _counted(self, window: np.ndarray, place: np.ndarray, k: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(window, item, diagonal) of bands with enough q-grams of the items from lo to hi, in bounded parts."""
+        first = np.searchsorted(self.place, k * len(self.ids) + lo)
+        n = np.searchsorted(self.place, k * len(self.ids) + hi) - first
+        total = np.cumsum(n)
+        if not len(n) or not total[-1]:
+            return
+        if total[-1] > POSTINGS:
+            if window[0] != window[-1]:  # whole windows, about half of the postings each
+                cut = int(np.searchsorted(total, total[-1] // 2))
+                cut = int(np.searchsorted(window, window[cut], side="left")) or int(np.searchsorted(window, window[0], side="right"))
+                yield from self._counted(window[:cut], place[:cut], k[:cut], lo, hi)
+                yield from self._counted(window[cut:], place[cut:], k[cut:], lo, hi)
+                return
+            if hi - lo > 1:
+                for a, b in ((lo, (lo + hi) // 2), ((lo + hi) // 2, hi)):
+                    yield from self._counted(window, place, k, a, b)
+                return
+        which = np.repeat(first - (total - n), n) + np.arange(int(total[-1]))
         item, offset = self.item[which], self.offset[which]
-        text = np.searchsorted(starts, place, side="right") - 1
-        # Diagonals from -m on; each lies in two bands.
-        step = self.step[item]
-        band = (place - starts[text] - offset + self.shift) // step
-        most = int(band.max(initial=0)) + 2
-        key = (text * len(self.ids) + item) * most + band
-        key = np.concatenate((key, key - 1))
-        item, offset = np.tile(item, 2), np.tile(offset, 2)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        window, place = np.repeat(window, n), np.repeat(place, n)
+        # Diagonals from -m on; each lies in two bands. Of each band's places in the item every one counts once.
+        band = (place - offset + self.shift) // self.step[item]
+        most = int(band.max()) + 2
+        key = ((window - window[0]) * (hi - lo) + item - lo) * most + band
+        halves = _distinct(key)
+        key = _distinct(np.concatenate((key, key - 1)) * self.most + np.tile(offset, 2)) // self.most
         cut = np.flatnonzero(np.diff(key, prepend=-1))
         counts = np.diff(np.append(cut, len(key)))
-        enough = np.flatnonzero(counts >= self.needed[item[order][cut]])
-        out = []
-        for c in enough.tolist():
-            a, b = cut[c], cut[c] + counts[c]
-            i = int(item[order[a]])
-            if len(np.unique(offset[order[a:b]])) >= self.needed[i]:
-                t, j = divmod(int(key[a]), len(self.ids) * most)
-                out.append((t, i, j % most * int(self.step[i]) - self.shift))
-        return out
-
-    def find(self, texts: list[bytes]) -> dict[tuple[int, int], int]:
-        """The least edits of each (text, item) that is found."""
-        out: dict[tuple[int, int], int] = {}
-        doubtful = []
-        for t, i, d in self.regions(texts):
-            m, k, step = len(self.texts[i]), int(self.k[i]), int(self.step[i])
-            low = d - k
-            region = texts[t][max(0, low) : d + 2 * step + m + k]
-            if out.get((t, i)) == 0:
-                continue
-            if self.texts[i] in region:
-                out[t, i] = 0
-            elif k:
-                doubtful.append((t, i, b"\0" * max(0, -low) + region))
-        for a in range(0, len(doubtful), 256):
-            part = [x for x in doubtful[a : a + 256] if out.get(x[:2]) != 0]
-            for (t, i, _), edits in zip(part, self._align(part)):
-                if edits <= self.k[i]:
-                    out[t, i] = min(edits, out.get((t, i), edits))
-        return out
-
-    def _align(self, found: list[tuple[int, int, bytes]]) -> list[int]:
-        """Least edits between each item and a part of its region, within the band of its diagonals."""
-        if not found:
-            return []
-        m = np.array([len(self.texts[i]) for _, i, _ in found])
-        width = int(max(2 * self.step[i] + 2 * self.k[i] + 1 for _, i, _ in found))
-        item = np.zeros((len(found), int(m.max())), np.uint8)
-        region = np.zeros((len(found), int(m.max()) + width + 1), np.uint8)
-        for r, (_, i, text) in enumerate(found):
-            item[r, : m[r]] = np.frombuffer(self.texts[i], np.uint8)
-            text = text[: region.shape[1]]
-            region[r, : len(text)] = np.frombuffer(text, np.uint8)
-        ramp = np.arange(width, dtype=np.int32)
-        cost = np.zeros((len(found), width), np.int32)  # of diagonal w after i bytes of the item
-        best = np.full(len(found), 1 << 20)
-        for i in range(int(m.max())):
-            new = cost + (region[:, i : i + width] != item[:, i, None])
-            new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
+        key = key[cut]
+        item = key // most % (hi - lo) + lo
+        enough = counts >= self.needed[item]
+        # A band whose places are all in its first half is seen with the band before it: k edits lead no further.
+        after = np.searchsorted(halves, key + 1)
+        enough &= halves[np.minimum(after, len(halves) - 1)] == key + 1
+        key, item = key[enough], item[enough]
+        yield key // most // (hi - lo) + window[0], item, key % most * self.step[item] - self.shift
+
+    def _align(self, texts: list[np.ndarray], t: np.ndarray, i: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Least edits between each item and a part of its text within the band of its diagonals from low on; some
+        number beyond k where it is beyond k."""
+        m, k = self.m[i], self.k[i]
+        width = int((2 * self.step[i] + 2 * k + 1).max(initial=1))
+        item = np.zeros((len(t), int(m.max(initial=1))), np.uint32)
+        region = np.zeros((len(t), item.shape[1] + width + 1), np.uint32)
+        for r, (x, y, d) in enumerate(zip(t.tolist(), i.tolist(), low.tolist())):
+            item[r, : m[r]] = self.texts[y]
+            part = texts[x][max(0, d) : d + 2 * int(self.step[y]) + int(m[r] + k[r]) + 1][: region.shape[1] - max(0, -d)]
+            region[r, max(0, -d) : max(0, -d) + len(part)] = part
+        kind = np.int16 if item.shape[1] + width < 1 << 14 else np.int32
+        ramp = np.arange(width, dtype=kind)
+        cost = np.zeros((len(t), width), kind)  # of diagonal w after n characters of the item
+        best, rows = np.full(len(t), 1 << 20), np.arange(len(t))
+        for n in range(item.shape[1]):
+            new = cost + (region[:, n : n + width] != item[:, n, None])
+            new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + kind(1))
             cost = np.minimum.accumulate(new - ramp, axis=1) + ramp
-            ended = m == i + 1
+            ended = m == n + 1
             if ended.any():
-                best[ended] = cost[ended].min(1)
-        return best.tolist()
+                best[rows[ended]] = cost[ended].min(1)
+            if n % 8 == 7 or ended.any():  # costs never fall
+                on = ~ended & (m > n + 1) & (cost.min(1) <= k)
+                if not on.any():
+                    break
+                if 2 * on.sum() < len(on):
+                    cost, item, region, m, k, rows = (x[on] for x in (cost, item, region, m, k, rows))
+        return best
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted; by sorting, as numpy's own way hashes such keys to few places."""
+    x = np.sort(x)
+    return x[np.diff(x, prepend=x[:1] - 1) != 0]
+
+
+def _text(points: np.ndarray) -> str:
+    return points.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def _items(shared) -> Items:
@@ -168,11 +229,11 @@ def _items(shared) -> Items:
     kept = only("decontaminate")
     if name not in kept:
         kept.clear()
-        kept[name] = Items(items)
+        kept[name] = Items([(i, np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)) for i, t in items])
     return kept[name]
 
 
-def _slices(texts: list[bytes]):
+def _slices(texts: list[np.ndarray]):
     a = 0
     while a < len(texts):
         b, size = a, 0
@@ -220,7 +281,7 @@ def _blocks(benchmark: DataFrame, most: int):
     n = max(1, -(-2 * total // most)) if total > most else 1
     for b in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else items
-        known = sorted({(r["item_id"], t) for r in part.toLocalIterator() if len(t := normal(r["text"])) >= LEAST}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        known = sorted({(r["item_id"], _text(t)) for r in part.toLocalIterator() if len(t := normal(r["text"]))}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         if known:
             yield benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, known))
 
