@@ -150,6 +150,18 @@ def test_escape_is_reversible(text):
     assert m and TURN.unescape(m[2]) == text and [x.end() for x in TURN.turn().finditer(turn * 2)] == [len(turn), 2 * len(turn)]
 
 
+def test_a_very_long_turn_takes_linear_memory():
+    import tracemalloc
+
+    text = ("a <b> # c </t \\ d\n" * 1_200_000)[:20_000_000]
+    turn = TURN.mark + "User" + TURN.after + TURN.escape(text) + TURN.end
+    tracemalloc.start()
+    m = TURN.turn().fullmatch(turn)
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+    assert m and TURN.unescape(m[2]) == text and not TURN.turn().fullmatch(turn[:-1])
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be"), (1, 1, "user", "hi"), (1, 2, "assistant", "\\### User: </turn>"), (1, 3, "user", None), (2, 0, "assistant", "first"), (3, 0, None, "x"), (3, 0, None, "x"), (None, 0, "user", "u"), (4, 0, "tool?", "é"), *((5, i, ("user", "assistant")[i % 2], "w" * 300) for i in range(900))]
     df = spark.createDataFrame([(*r, "k", 1) for r in rows], "conv_id long, turn long, role string, text string, segment string, valid long").repartition(5)

@@ -81,6 +81,23 @@ def bucket(col: str | Column, mod: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def quoted(name: str) -> Column:
+    """The column of just that name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(taken: DataFrame | list[str], *names: str) -> list[str]:
+    """The names, with blanks of "_" before those that are taken (in any case)."""
+    have = {c.lower() for c in (taken.columns if isinstance(taken, DataFrame) else taken)}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 @contextmanager
 def one_thread():
     """numpy's products in one thread: many small ones lose far more by waiting for each other's threads than they

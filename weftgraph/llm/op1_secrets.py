@@ -14,7 +14,8 @@ number of matches.
 
 Defined results: null text is empty; a row is known by its id and text, so repeated rows each get their
 result and equal ids with other texts are kept apart; null ids are kept; an empty table gives no rows;
-further columns are ignored.
+further columns are ignored or, by ``mask_secrets``, kept, whatever their names. A text's hash (64 bits) and its
+row's id together name it.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import stored, table
+from weftgraph.llm.common import quoted, stored, table, unused
 
-#: Candidates that are broadcast at most; beyond it they are shuffled.
+#: Candidates, and spans to mask, that are broadcast at most; beyond it they are shuffled. A row takes at most some
+#: dozen bytes: its id, its text's hash and the rules it may meet, or the two ends of a span.
 BROADCAST_CANDIDATES = 500_000
 
 
@@ -166,24 +168,20 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     each = found.select("doc_id", "_h", F.posexplode("spans").alias("at", "s")).select("doc_id", "_h", "at", "s.start", "s.end")
     # Each span begins where those before it have ended; those within others vanish.
     each = each.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0).cast("long"))).where(F.col("end") > F.col("from"))
-    cuts = each.groupBy(F.col("doc_id").alias("__id"), F.col("_h").alias("__hash")).agg(F.array_sort(F.collect_list(F.struct("from", "start", "end"))).alias("__cuts"))
+    key, mark, spans, masked = unused(docs, "cut_id", "cut_hash", "cuts", "masked")
+    cuts = each.groupBy(F.col("doc_id").alias(key), F.col("_h").alias(mark)).agg(F.array_sort(F.collect_list(F.struct("from", "start", "end"))).alias(spans))
     cuts = stored(cuts, "secret-spans")
-    wide = F.broadcast(cuts) if cuts.count() <= BROADCAST_CANDIDATES else cuts
-    text = docs["text"]
-    joined = docs.join(wide, docs["doc_id"].cast("long").eqNullSafe(wide["__id"]) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == wide["__hash"]), "left")
+    n = cuts.agg(F.coalesce(F.sum(F.size(spans) + 1), F.lit(0)).alias("n")).first()["n"]
+    wide = F.broadcast(cuts) if n <= BROADCAST_CANDIDATES else cuts
+    text, names = docs["text"], docs.columns
+    joined = docs.join(wide, docs["doc_id"].cast("long").eqNullSafe(wide[key]) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == wide[mark]), "left")
     part = lambda s: F.when(s["start"] >= s["from"], F.concat(text.substr(s["from"].cast("int") + 1, (s["start"] - s["from"]).cast("int")), F.lit("[secret]"))).otherwise(F.lit(""))
-    tail = F.element_at("__cuts", -1)["end"].cast("int")
-    masked = F.when(F.col("__cuts").isNull(), text).otherwise(F.concat(F.array_join(F.transform("__cuts", part), ""), text.substr(tail + 1, F.length(text))))
-    out = joined.withColumn("__masked", masked)
-    columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(F.col("__masked").alias("text"))
-        elif c == "n_chars":
-            columns.append(F.when(F.col("__cuts").isNull(), docs[c]).otherwise(F.length("__masked").cast(docs.schema[c].dataType)).alias(c))
-        else:
-            columns.append(docs[c])
-    return out.select(*columns)
+    tail = F.element_at(spans, -1)["end"].cast("int")
+    out = joined.withColumn(masked, F.when(F.col(spans).isNull(), text).otherwise(F.concat(F.array_join(F.transform(spans, part), ""), text.substr(tail + 1, F.length(text)))))
+    new = {"text": F.col(masked).alias("text")}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col(spans).isNull(), docs["n_chars"]).otherwise(F.length(masked).cast(docs.schema["n_chars"].dataType)).alias("n_chars")
+    return out.select(*(new[c] if c in new else quoted(c) for c in names))
 
 
 def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:

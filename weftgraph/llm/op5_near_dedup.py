@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import only, small_batches, stored, table
+from weftgraph.llm.common import only, small_batches, stored, table, unused
 from weftgraph.operators.components import connected_components
 
 TOKENS = 128
@@ -460,12 +460,13 @@ def without_copies(docs: DataFrame, join: Join | None = None) -> DataFrame:
     keys = keys.select("component", "n", F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash").alias("key"))
     groups = keys.groupBy("component").agg(F.min("key").alias("first"), F.sum("n").alias("rows")).where(F.col("rows") > 1)
     keys = keys.join(groups, "component").withColumn("goes", F.col("key") != F.col("first")).where(F.col("goes") | (F.col("n") > 1))
-    keys = stored(keys.select(F.col("key.doc_id").alias("_copy_id"), F.col("key.text_hash").alias("_copy_hash"), "goes"), "copies")
+    key, mark = unused(docs, "copy_id", "copy_hash")
+    keys = stored(keys.select(F.col("key.doc_id").alias(key), F.col("key.text_hash").alias(mark), "goes"), "copies")
 
     def among(rows: DataFrame, how: str) -> DataFrame:
-        rows = rows.select("_copy_id", "_copy_hash")
+        rows = rows.select(key, mark)
         wide = F.broadcast(rows) if few else rows
-        return docs.join(wide, docs["doc_id"].cast("long").eqNullSafe(wide["_copy_id"]) & (_text_hash(docs) == wide["_copy_hash"]), how)
+        return docs.join(wide, docs["doc_id"].cast("long").eqNullSafe(wide[key]) & (_text_hash(docs) == wide[mark]), how)
 
     few = keys.count() <= BROADCAST_MEMBERS
     kept, again = among(keys, "left_anti"), keys.where("NOT goes")

@@ -5,12 +5,13 @@ the texts of roles that the template names carry the loss flag. The escape is re
 doubled, and a control string gets one before it.
 
 Conversations are shuffled by id, sorted in their partition and streamed, so one that holds a third of all
-rows takes no more memory than another; nothing gathers a conversation.
+rows takes no more memory than another; nothing gathers a conversation. A turn is read back by one pass that
+never goes back, so a very long text takes a few times its own size.
 
 Defined results: a null text is empty; a null role is the empty role; rows with the same turn are kept,
 ordered by role and text; null conversation ids form one conversation; roles or orders that the machine
 doesn't know are formatted all the same, and ``valid`` is false; an empty table gives no rows; further
-columns are ignored.
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import table
+from weftgraph.llm.common import small_batches, table
 
 
 @dataclass(frozen=True)
@@ -56,9 +57,12 @@ class ChatTemplate:
 
     def turn(self) -> re.Pattern:
         """One whole turn of formatted text: its label and its escaped text."""
-        control = "|".join(map(re.escape, self.control))
-        body = rf"((?:[^\\]|\\\\|\\(?:{control}))*?)"
-        return re.compile(re.escape(self.mark) + r"(\?[0-9a-f]*|" + "|".join(map(re.escape, self.labels.values())) + ")" + re.escape(self.after) + body + re.escape(self.end), re.DOTALL)
+        control, end = "|".join(map(re.escape, self.control)), re.escape(self.end)
+        # Runs of plain signs, escapes, and signs that could begin a control string or the end but don't; each is
+        # taken for good, so nothing is kept for going back.
+        first = "".join({re.escape(c[0]) for c in (*self.control, self.end)})
+        body = rf"((?:[^\\{first}]++|\\(?:\\|{control})|(?!{control}|{end})[{first}])*+)"
+        return re.compile(re.escape(self.mark) + r"(\?[0-9a-f]*|" + "|".join(map(re.escape, self.labels.values())) + ")" + re.escape(self.after) + body + end, re.DOTALL)
 
 
 SEGMENTS = "conv_id long, turn_no long, segment int, text string, loss boolean, valid boolean"
@@ -91,7 +95,7 @@ def _formatting(template: ChatTemplate) -> Callable:
 
 def format_chat(conversations: DataFrame, template: ChatTemplate | None = None) -> DataFrame:
     """The segments of each conversation, in order within the partitions; a conversation is in one."""
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    rows = small_batches(conversations).select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_formatting(template or ChatTemplate()), SEGMENTS)
 
 
