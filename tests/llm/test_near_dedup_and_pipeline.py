@@ -122,3 +122,29 @@ def test_pipeline(spark, tmp_path):
     empty = P.pack(spark, now.limit(0), str(tmp_path))
     assert empty.count() == 0 and P.drop_copies(spark, now.limit(0), str(tmp_path)).count() == 0 and P.mask_secrets(spark, now.limit(0), str(tmp_path)).count() == 0
     assert P.filter_quality(spark, now.where(F.lit(False)), str(tmp_path)).count() == 0
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Null texts and ids, ids that repeat, and columns that have the names that operators use inside."""
+    import corpus_pipeline as P
+
+    r = random.Random(11)
+    names = ["_score", "__score", "copy_id", "copy_hash", "_copy_id", "cut_id", "cuts", "masked", "__cuts", "__masked", "__id", "_h", "_id", "_row", "node", "part", "quality", "component", "x", "a`b.c"]
+    t = words(r, 50)
+    texts = [None, "", t, t, words(r, 60) + " token=abcdefgh12", words(r, 40), words(r, 40), None]
+    df = docs(spark, texts, [1, 2, 3, 3, None, 5, 5, None]).select("doc_id", "text", "lang", "source", "n_chars")
+    df = df.select("*", *(F.lit(1).alias(n) for n in names))
+    spark.createDataFrame([(1, words(r, 30)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = sorted(texts, key=str)
+    want.remove(t)
+    now = df
+    for k, (name, stage) in enumerate(P.STAGES[:-1]):
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == df.columns, name
+        now.write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        left = sorted((x.text for x in now.collect()), key=str)
+        assert [str(x).replace("[secret]", "token=abcdefgh12") for x in left] == [str(x) for x in (want if k else sorted(texts, key=str))], name
+    packed = P.pack(spark, now, str(tmp_path)).collect()
+    assert sorted(str(x.doc_id) for x in packed) == ["1", "2", "3", "5", "5", "None", "None"]

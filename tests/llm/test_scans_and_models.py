@@ -132,18 +132,45 @@ def test_quality(spark):
     none, shift = Q.train(df.select("doc_id", "text"), labels.limit(0))
     assert none is None and {x._score for x in Q.score(df.select("doc_id", "text"), none, shift).collect()} == {0.5}
     assert Q.score(df.limit(0).select("doc_id", "text"), net, shift).collect() == []
-
-
-def test_long_texts_score_in_slices():
-    net = Q.Network()
-    r = np.random.default_rng(2)
-    t = bytes(r.integers(97, 123, 3 * Q.SLICE).astype(np.uint8))
-    whole = net.pooled([t])[0]
-    best = None
-    for s in range(0, len(t), Q.SLICE - Q.BLOCK):
-        x = net.pooled([t[s : s + Q.SLICE]])[0]
-        best = x if best is None else np.maximum(best, x)
-    assert (best >= whole - 1e-5).all()
+    odd = df.withColumnRenamed("lang", "la`ng x.y").withColumn("s", F.struct(F.lit(1).alias("a b")))
+    scored = Q.score(odd, net, shift)
+    assert scored.columns == [*odd.columns, "__score"] and {x[0]: x[-1] for x in scored.collect()} == got
+    kept = Q.accepted(odd, net, shift, 0.5)
+    assert kept.columns == odd.columns and {x[0] for x in kept.collect()} == {i for i, v in got.items() if v >= 0.5}
+
+
+def naive_score(net, text):
+    """The network by its definition, a filter place and a chunk at a time."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    n = max(2, -(-(len(text) + Q.STRIDE) // Q.BLOCK))
+    x = [p["embed"][b] for b in text.ljust(n * Q.BLOCK, b"\0")]
+    w = np.concatenate((p["filters"][:, : Q.FILTERS], p["filters"][:, Q.FILTERS :]))
+    places = []
+    for i in range(0, n * Q.BLOCK, Q.STRIDE):
+        part = x[i : i + 2 * Q.STRIDE]
+        part = np.concatenate([*part, *[np.zeros(Q.EMBED)] * (2 * Q.STRIDE - len(part))])
+        places.append(np.maximum(part @ w + p["filters_b"], 0))
+    hidden = []
+    for c in range(n - 1):
+        z = np.array(places[c * Q.ROWS : (c + 2) * Q.ROWS])
+        hidden.append(np.maximum(np.concatenate((z.mean(0), z.max(0))) @ p["hidden"] + p["hidden_b"], 0))
+    return 1 / (1 + np.exp(-(np.max(hidden, 0) @ p["out"] + p["out_b"][0])))
+
+
+def test_scores_are_those_of_the_network(monkeypatch):
+    net, r = Q.Network(), np.random.default_rng(2)
+    texts = [bytes(r.integers(32, 123, n).astype(np.uint8)) for n in (0, 1, 123, 124, 125, 252, 256, 260, 700, 1021, 3000, 5000)]
+    want = [naive_score(net, t) for t in texts]
+    for size in (1 << 18, 512, 600, 1024):
+        monkeypatch.setattr(Q, "SLICE", size)
+        monkeypatch.setattr(Q.Network.windows, "__defaults__", (size,))
+        assert np.abs(net.score(texts) - want).max() < 2e-6
+    # Long texts give the gradients of the whole text.
+    y = np.arange(len(texts)) % 2
+    g, loss = net.gradients(texts, y)
+    monkeypatch.setattr(Q, "LONG", 300)
+    h, lost = net.gradients(texts, y)
+    assert abs(loss - lost) < 1e-6 and all(np.abs(g[k] - h[k]).max() < 1e-5 for k in g)
 
 
 def edits(item, text):

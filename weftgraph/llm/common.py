@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 _caches: dict[str, dict] = {}
@@ -98,6 +100,15 @@ def unused(taken: DataFrame | list[str], *names: str) -> list[str]:
     return out
 
 
+def by_place(docs: DataFrame, make: Callable[[int], Callable], *more: T.StructField) -> DataFrame:
+    """docs through mapInArrow, with more columns behind its own, whatever signs their names hold. make gets the
+    place of the text among the columns and gives the function, which yields columns in that order."""
+    place = [c.lower() for c in docs.columns].index("text")
+    fields = [T.StructField(f"c{n}", f.dataType, f.nullable) for n, f in enumerate([*docs.schema.fields, *more])]
+    plain = small_batches(docs).toDF(*(f.name for f in fields[: len(docs.columns)]))
+    return plain.mapInArrow(make(place), T.StructType(fields)).toDF(*docs.columns, *(f.name for f in more))
+
+
 @contextmanager
 def one_thread():
     """numpy's products in one thread: many small ones lose far more by waiting for each other's threads than they

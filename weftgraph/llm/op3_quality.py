@@ -4,27 +4,30 @@ Bytes are embedded; filters of 8 bytes move over the text by 4; a chunk is 256 b
 so that chunks cover the whole document); in each chunk the filters' means and maxima feed a hidden layer,
 whose units are max-pooled over all chunks of the document and combined into one probability.
 
-Training takes at most ``SAMPLE`` labelled rows of each class, the first by a hash of the id; of those texts
-that are longer than ``TRAIN_BYTES``, as many bytes in windows spread over the text. The sample is joined
-by broadcast (its size is that bound), so texts don't move. Scoring reads every text whole, in slices of
-bounded size.
+Training takes at most ``SAMPLE`` labelled rows of each class, the first by a hash of the id, and their whole
+texts. The sample is joined by broadcast (its size is that bound), so other texts don't move. Texts of any
+length are gone through in windows that meet chunk by chunk, so the chunks are those of the whole text; as each
+unit's maximum lies in one chunk, long texts send errors back through those chunks alone.
 
 Defined results: null and empty texts count as one chunk of padding; without labels of both classes the
 score is the share of label 1 (0.5 without labels); repeated rows get equal scores; an empty table gives no
-rows; further columns are ignored; null labels and labels other than 0 and 1 aren't learned from.
+rows; further columns are kept by ``score``, whatever their names; null labels and labels other than 0 and 1
+aren't learned from; of rows that share a labelled id, the first by their texts' hashes are, within the bound.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftgraph.llm.common import bucket, one_thread, only, small_batches, table
+from weftgraph.llm.common import bucket, by_place, one_thread, only, quoted, table, unused
 
-SAMPLE, TRAIN_BYTES = 700, 6144
+#: Labelled rows of each class that are learned from at most.
+SAMPLE = 700
 EPOCHS, BATCH, RATE, SEED = 14, 24, 0.004, 7
 #: Small samples are gone through more often, for about as many steps; so often at most.
 STEPS, MOST_EPOCHS = 800, 60
@@ -32,7 +35,8 @@ EMBED, FILTERS, HIDDEN, STRIDE = 8, 32, 24, 4
 BLOCK = 128  # bytes; a chunk is two blocks
 ROWS = BLOCK // STRIDE
 THRESHOLD = 0.3
-SLICE = 1 << 18
+#: Bytes of texts that are worked on at a time, and from which a text's errors go through its maxima's chunks alone.
+SLICE, LONG = 1 << 18, 1 << 13
 
 
 def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,20 +89,46 @@ class Network:
         data, blocks = layout(texts)
         return np.maximum.reduceat(self.chunks(data, blocks), np.cumsum(blocks - 1) - (blocks - 1))
 
+    def windows(self, text: bytes, size: int = SLICE) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the first chunk, hidden units) of all chunks of the text, about so many bytes at a time."""
+        every = max(2, -(-(len(text) + STRIDE) // BLOCK)) - 1
+        n = max(1, size // BLOCK - 2)
+        for c in range(0, every, n):
+            # The chunks' blocks, and the next filter's half behind them; what padding follows is another window's.
+            data, blocks = layout([text[c * BLOCK : (c + n + 1) * BLOCK + STRIDE]])
+            yield c, self.chunks(data, blocks)[: min(n, every - c)]
+
+    def maxima(self, text: bytes) -> list[bytes]:
+        """The parts of a text that hold the first chunk of each unit's maximum."""
+        most = np.zeros(HIDDEN, np.float32)
+        at = np.zeros(HIDDEN, np.int64)
+        for c, h in self.windows(text):
+            best, value = h.argmax(0), h.max(0)
+            at, most = np.where(value > most, c + best, at), np.maximum(value, most)
+        return [text[c * BLOCK : (c + 2) * BLOCK + STRIDE] for c in sorted(set(at.tolist()))]
+
     def logit(self, pooled: np.ndarray) -> np.ndarray:
         return pooled @ self.p["out"] + self.p["out_b"][0]
 
     def gradients(self, texts: list[bytes], labels: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         p = self.p
-        data, blocks = layout(texts)
+        parts = [self.maxima(t) if len(t) > LONG else [t] for t in texts]
+        data, blocks = layout([x for part in parts for x in part])
         h, k, (a, z, last, by_block, most, features) = self.chunks(data, blocks, keep=True)
-        starts = np.cumsum(blocks - 1) - (blocks - 1)
+        owner = np.repeat(np.arange(len(texts)), [len(part) for part in parts])
+        # Of a long text's parts, only the first chunk is one of the text.
+        first = np.cumsum(blocks - 1) - (blocks - 1)
+        long = np.array([len(t) > LONG for t in texts])[owner]
+        own = np.repeat(~long, blocks - 1)
+        own[first] = True
+        h = h * own[:, None]
+        starts = first[np.searchsorted(owner, np.arange(len(texts)))]
         pooled = np.maximum.reduceat(h, starts)
         prob = 1 / (1 + np.exp(-np.clip(self.logit(pooled), -30, 30)))
         d = ((prob - labels) / len(labels)).astype(np.float32)
         g = {"out": pooled.T @ d, "out_b": d.sum(keepdims=True)}
         # Through the maximum: the first chunk that has it.
-        text_of = np.repeat(np.arange(len(texts)), blocks - 1)
+        text_of = np.repeat(owner, blocks - 1)
         is_most = (h == pooled[text_of]) & (h > 0)
         seen = np.cumsum(is_most, 0)
         before = np.where(starts[:, None] > 0, seen[starts - 1], 0)
@@ -146,17 +176,12 @@ class Network:
                     self.p[k] = (self.p[k] - now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
 
     def score(self, texts: list[bytes], shift: float = 0.0) -> np.ndarray:
-        """Probabilities of label 1. Long texts are cut into slices that overlap by a block and meet block by
-        block, so every chunk is seen, and their maxima joined."""
+        """Probabilities of label 1."""
         out = np.empty((len(texts), HIDDEN), np.float32)
         a = 0
         while a < len(texts):
             if len(texts[a]) > SLICE:
-                t, best = texts[a], None
-                for s in range(0, len(t), SLICE - BLOCK):
-                    x = self.pooled([t[s : s + SLICE]])[0]
-                    best = x if best is None else np.maximum(best, x)
-                out[a] = best
+                out[a] = np.max([h.max(0) for _, h in self.windows(texts[a])], axis=0)
                 a += 1
                 continue
             b, size = a, 0
@@ -169,21 +194,6 @@ class Network:
         return np.round(1 / (1 + np.exp(-np.clip(self.logit(out).astype(np.float64) + shift, -30, 30))), 6)
 
 
-def spread(text: bytes, most: int = TRAIN_BYTES, windows: int = 6) -> bytes:
-    """The text, or windows of equal size spread evenly over all of it."""
-    if len(text) <= most:
-        return text
-    size = most // windows
-    return b"".join(text[(len(text) - size) * i // (windows - 1) :][:size] for i in range(windows))
-
-
-def _spreading(batches):
-    import pyarrow as pa
-
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([spread((t.as_py() or "").encode()) for t in batch.column("text")], pa.binary()), batch.column("quality"), batch.column("_order")], ["text", "quality", "_order"])
-
-
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Network | None, float]:
     """The network, and the logit of label 1's share less that in the sample."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).distinct()
@@ -192,38 +202,45 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Net
     prior = float(np.log(rate / (1 - rate)))
     picked = [known.where(F.col("quality") == q).withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(sample) for q in (0, 1)]
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
-    got = rows.select("text", "quality", "_order").mapInArrow(_spreading, "text binary, quality int, _order long").collect()
-    got.sort(key=lambda r: (r["_order"], bytes(r["text"])))
-    got = got[: 2 * sample]
-    y = np.array([r["quality"] for r in got])
+    rows = rows.select(F.coalesce("text", F.lit("")).alias("text"), "quality", "_order").orderBy("_order", F.xxhash64("text"), "text").limit(2 * sample)
+    got = [(r["text"].encode(), r["quality"]) for r in rows.collect()]
+    y = np.array([q for _, q in got])
     if len(set(y.tolist())) < 2:
         return None, prior
     net = Network()
     with one_thread():
-        net.fit([bytes(r["text"]) for r in got], y, min(MOST_EPOCHS, max(EPOCHS, -(-STEPS * BATCH // len(got)))))
+        net.fit([t for t, _ in got], y, min(MOST_EPOCHS, max(EPOCHS, -(-STEPS * BATCH // len(got)))))
     share = float(np.mean(y))
     return net, prior - float(np.log(share / (1 - share)))
 
 
-def _scoring(net: Network | None, shift: float) -> Callable:
+def _scoring(net: Network | None, shift: float, place: int) -> Callable:
+    """place: the text's column among those of the batches."""
+
     def run(batches):
         import pyarrow as pa
 
         only("quality")
         for batch in batches:
-            scores = np.empty(batch.num_rows)
+            scores, column = np.empty(batch.num_rows), batch.column(place)
             for a in range(0, batch.num_rows, 64):
-                texts = [(t.as_py() or "").encode() for t in batch.column("text").slice(a, 64)]
+                texts = [(t.as_py() or "").encode() for t in column.slice(a, 64)]
                 scores[a : a + 64] = net.score(texts, shift) if net else 1 / (1 + np.exp(-shift))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names), pa.array(scores)], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, f"c{batch.num_columns}"])
 
     return run
 
 
 def score(docs: DataFrame, net: Network | None, shift: float) -> DataFrame:
-    """docs with _score; its other columns stay."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return small_batches(docs).mapInArrow(_scoring(net, shift), f"{schema}, _score double")
+    """docs with the score as last column: ``_score``, or the next free name with more "_" before it."""
+    (name,) = unused(docs, "_score")
+    return by_place(docs, lambda place: _scoring(net, shift, place), T.StructField(name, T.DoubleType()))
+
+
+def accepted(docs: DataFrame, net: Network | None, shift: float, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is threshold or more."""
+    rows = score(docs, net, shift)
+    return rows.where(quoted(rows.columns[-1]) >= threshold).select(*map(quoted, docs.columns))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

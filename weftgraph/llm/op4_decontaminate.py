@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import only, small_batches, table
+from weftgraph.llm.common import by_place, only, small_batches, table
 
 Q, RATE, LEAST = 8, 0.1, 24
 BENCHMARK_BYTES = 32 << 20
@@ -259,7 +259,7 @@ def _finding(shared) -> Callable:
     return run
 
 
-def _flagging(shared) -> Callable:
+def _flagging(shared, place: int) -> Callable:
     def run(batches):
         import pyarrow as pa
 
@@ -267,7 +267,7 @@ def _flagging(shared) -> Callable:
         for batch in batches:
             leaks = np.zeros(batch.num_rows, bool)
             for at in range(0, batch.num_rows, 1000):
-                for a, part in _slices([normal(t.as_py()) for t in batch.column("text").slice(at, 1000)]):
+                for a, part in _slices([normal(t.as_py()) for t in batch.column(place).slice(at, 1000)]):
                     leaks[[at + a + t for t, _ in items.find(part)]] = True
             yield batch.filter(pa.array(~leaks))
 
@@ -301,7 +301,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most: int = BENCHMARK_BYTE
 def without_leaks(docs: DataFrame, benchmark: DataFrame, most: int = BENCHMARK_BYTES) -> DataFrame:
     """The documents in which no item is found, with their columns."""
     for shared in _blocks(benchmark, most):
-        docs = small_batches(docs).mapInArrow(_flagging(shared), docs.schema)
+        docs = by_place(docs, lambda place, shared=shared: _flagging(shared, place))
     return docs
 
 
