@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftgraph.llm import op1_secrets as secrets
 from weftgraph.llm import op3_quality as quality
@@ -24,24 +23,51 @@ COPIES = near.Join(words=5, percent=80)
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns as op3 does, from this stage's documents."""
+    """Documents that the classifier rejects go. It learns as op3 does, from this stage's documents.
+
+    Null and empty texts are scored as padding, so one goes or stays by what was learned; null ids are scored too;
+    without labels of both classes every score is the share of label 1; rows that repeat stay or go together; a
+    table without rows stays one; columns are kept, whatever their names.
+    """
     labels = table(spark, sf_dir, "labels").where(bucket("doc_id", 5) != 0)
-    return quality.score(docs, *quality.train(docs, labels)).where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.accepted(docs, *quality.train(docs, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-copies one row stays, that of the smallest id.
+
+    Null ids come last; of rows with one id and other texts the first by the text's hash stays, of equal rows one;
+    null and empty texts and those without words have no copies and all stay; a table without rows stays one;
+    columns are kept, whatever their names.
+    """
     return near.without_copies(docs, COPIES)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which an item of the benchmark is found go.
+
+    Null and empty texts hold no item and stay, as does every row if the benchmark is empty; rows that repeat stay
+    or go together; null ids make no difference; columns are kept, whatever their names.
+    """
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret becomes ``[secret]``; no row goes.
+
+    Null and empty texts stay as they are; spans that overlap are masked as one; rows that repeat are masked alike,
+    also those without an id; n_chars, if there is such a column, is the new length; other columns are kept,
+    whatever their names.
+    """
     return secrets.mask_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, with its place in a sequence.
+
+    Null and empty texts are the end id alone; rows that repeat, or have no id, are packed each; ties of length go by
+    id and place; a table without rows gives none; of the columns only ids and texts are used.
+    """
     return packing.pack(docs, default_vocabulary())
 
 
