@@ -249,10 +249,24 @@ def test_index_finds_every_code_in_the_radius():
     r = np.random.default_rng(3)
     codes = r.integers(0, 1 << 63, (3000, 2), np.int64).view(np.uint64)
     codes[:200] = codes[0] ^ (np.uint64(1) << r.integers(0, 64, (200, 2)).astype(np.uint64))
-    index = N.Index(codes)
-    for radius in (0, 3, 9, 20, 50):
-        want = np.flatnonzero(N.hamming(codes[0], codes) <= radius)
-        assert (index.within(codes[0], radius) == want).all()
+    for bits in N.LENGTHS:
+        index = N.Index(codes, bits)
+        for radius in (0, 3, 9, 20, 50):
+            want = np.flatnonzero(N.hamming(codes[0], codes) <= radius)
+            assert (index.within(codes[0], radius) == want).all()
+
+
+def test_the_index_prunes():
+    """Vectors in clusters, and evenly spread ones, where neighbours' codes differ in two fifths of their bits:
+    either way few rows pass the probe."""
+    r = np.random.default_rng(4)
+    even = r.normal(size=(8000, 64))
+    even /= np.linalg.norm(even, axis=1)[:, None]
+    near = r.normal(size=(100, 64))[r.integers(0, 100, 8000)] + r.normal(size=(8000, 64)) * 0.02
+    for v, most in ((even, 0.2), (near, 0.02)):
+        mean, matrix, radius, length = N.fit(v[:4000])
+        codes = N.encode(v, mean, matrix)
+        assert N.Index(codes, length).probe(codes[::200], radius).mean() < most
 
 
 def test_neighbours(spark):

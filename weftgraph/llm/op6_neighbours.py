@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Vectors become binary codes: centred, rotated by learned orthogonal matrices (iterative quantization on
-principal axes, one for each 64-bit word of the code) and cut at zero. Codes are split into substrings of 16
-bits, and each substring of the rows at hand is indexed by its value. Two codes within Hamming radius r agree
-in some substring within r // (number of substrings), so probing all values that near in every substring
+principal axes, one for each 64-bit word of the code) and cut at zero. Codes are split into substrings,
+and each substring of the rows at hand is indexed by its value. Two codes within Hamming radius r agree
+in some substring within r // (number of substrings), so probing all values that near in every substring's table
 finds every code within r; the codes' distance confirms them, and the vectors rerank them.
 
-Rotations and radius are fitted on at most ``SAMPLE`` vectors (by a hash of the id); the radius is the least
-that keeps ``TARGET`` of the sample queries' true neighbours. Every row is indexed. Rows don't move: each
+Rotations, radius and the substrings' length are fitted on at most ``SAMPLE`` vectors (by a hash of the id); the
+radius is the least that keeps ``TARGET`` of the sample queries' true neighbours, the length the one of ``LENGTHS``
+that leaves least to compare: short ones where neighbours' codes are near, long ones where they are far, as then
+most rows agree in some short one. Every row is indexed. Rows don't move: each
 task indexes its own in parts of bounded size and streams the query vectors from the shared folder in
 blocks, keeping the best k of each query; only those are shuffled. Queries that find fewer than k in the
 radius search all rows in a second pass.
@@ -28,16 +30,13 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import fresh_path, one_thread, open_uri, table
 
 SAMPLE, SAMPLE_QUERIES, TARGET = 8192, 256, 0.97
-WORDS, BITS, SEED = 4, 16, 5
+WORDS, SEED = 4, 5
+#: Bits of a substring that are tried.
+LENGTHS = (16, 32, 64, 128)
 #: Rows that are indexed, and queries that are searched, at a time.
-ROWS, QUERY_BLOCK = 1 << 15, 1024
+ROWS, QUERY_BLOCK, PROBED = 1 << 15, 1024, 64
 EVERY, K = 100, 10
 
-_ones = np.bitwise_count(np.arange(1 << BITS, dtype=np.uint16)).astype(np.uint8)
-#: Substrings in order of their ones, and how many have at most n.
-_by_ones = np.argsort(_ones, kind="stable").astype(np.uint16)
-_up_to = np.cumsum(np.bincount(_ones, minlength=BITS + 1))
-
 
 def fit_rotations(sample: np.ndarray, words: int = WORDS, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """The mean, and a matrix to words * 64 bits. Vectors of fewer axes get more rotations of them."""
@@ -72,7 +71,8 @@ def distances(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.sqrt(((vectors - query) ** 2).sum(1))
 
 
-def fit(sample: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, int]:
+def fit(sample: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Mean, matrix, radius and the bits of a substring."""
     mean, matrix = fit_rotations(sample)
     codes = encode(sample, mean, matrix)
     far: list[int] = []
@@ -82,37 +82,52 @@ def fit(sample: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, int]:
         near = np.argsort(d, kind="stable")[: min(k, len(d) - 1)]
         far += hamming(codes[i], codes[near]).tolist()
     far.sort()
-    return mean, matrix, far[min(len(far) - 1, int(np.ceil(TARGET * len(far))) - 1)] if far else codes.shape[1] * 64
+    radius = far[min(len(far) - 1, int(np.ceil(TARGET * len(far))) - 1)] if far else codes.shape[1] * 64
+    probes = codes[:: max(1, len(sample) // PROBED)]
+
+    def work(bits: int) -> float:
+        """About the operations for each row: words of the tables' values, and its code and place if it passes."""
+        index = Index(codes, bits)
+        return sum(t[0].size for t in index.tables) / len(codes) + 40 * float(index.probe(probes, radius).mean())
+
+    return mean, matrix, radius, min(LENGTHS, key=work)
 
 
 class Index:
-    """One table for each substring: its rows in order of the substring's value."""
+    """One table for each substring: its values among the rows, and the rows of each value."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, bits: int = LENGTHS[0]):
         self.codes = codes
-        self.parts = np.ascontiguousarray(codes.view(np.uint16).T)
-        self.order = np.argsort(self.parts, axis=1, kind="stable")
-        self.start = np.array([np.searchsorted(np.sort(p), np.arange((1 << BITS) + 1)) for p in self.parts])
+        unit = min(bits, 64)
+        #: Of each substring: the values, as words; the rows in order of their value; the value of each of those.
+        self.tables = []
+        for part in np.split(codes.view(f"<u{unit // 8}"), codes.shape[1] * 64 // bits, axis=1):
+            order = np.lexsort(part.T)
+            part = part[order]
+            new = np.ones(len(part), bool)
+            new[1:] = (part[1:] != part[:-1]).any(1)
+            self.tables.append((np.ascontiguousarray(part[new].T), order, np.cumsum(new) - 1))
+
+    def probe(self, codes: np.ndarray, radius: int) -> np.ndarray:
+        """For each code the rows, as flags, that agree with it in some substring within the radius's share."""
+        seen = np.zeros((len(codes), len(self.codes)), bool)
+        least = radius // len(self.tables)
+        for (values, order, value), part in zip(self.tables, np.split(codes.view(self.tables[0][0].dtype), len(self.tables), axis=1)):
+            far = np.bitwise_count(part[:, :1] ^ values[0]).astype(np.uint8)
+            for k in range(1, len(values)):
+                far += np.bitwise_count(part[:, k : k + 1] ^ values[k])
+            seen[:, order] |= (far <= least)[:, value]
+        return seen
+
+    def search(self, codes: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+        """For each code all rows whose codes are within the radius."""
+        for a in range(0, len(codes), PROBED):
+            for code, seen in zip(codes[a : a + PROBED], self.probe(codes[a : a + PROBED], radius)):
+                rows = np.flatnonzero(seen)
+                yield rows[hamming(code, self.codes[rows]) <= radius]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose codes are within the radius."""
-        parts = code.view(np.uint16)
-        n = int(_up_to[min(BITS, radius // len(parts))])
-        seen = np.zeros(len(self.codes), bool)
-        if n < len(self.codes):
-            flips = _by_ones[:n]
-            for j, p in enumerate(parts):
-                values = (flips ^ p).astype(np.int64)
-                a, b = self.start[j][values], self.start[j][values + 1]
-                some = b > a
-                a, size = a[some], (b - a)[some]
-                seen[self.order[j][np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]] = True
-        else:  # there are more values to probe than rows: their substrings are compared instead
-            least = radius // len(parts)
-            for j, p in enumerate(parts):
-                seen |= _ones[self.parts[j] ^ p] <= least
-        rows = np.flatnonzero(seen)
-        return rows[hamming(code, self.codes[rows]) <= radius]
+        return next(self.search(code[None], radius))
 
 
 def best(ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
@@ -142,18 +157,17 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def _searching(folder: str, model, k: int) -> Callable:
-    """model: mean, matrix and radius, or None to search all rows."""
+    """model: mean, matrix, radius and substrings' bits, or None to search all rows."""
 
     def run(batches):
         import pyarrow as pa
 
         def search(ids: np.ndarray, vectors: np.ndarray):
-            index = Index(encode(vectors, *model[:2])) if model else None
+            index = Index(encode(vectors, *model[:2]), model[3]) if model else None
             for query_ids, queries in _blocks(folder):
-                codes = encode(queries, *model[:2]) if model else None
                 out: list[tuple[np.ndarray, ...]] = []
-                for q in range(len(queries)):
-                    rows = index.within(codes[q], model[2]) if model else np.arange(len(ids))
+                found = index.search(encode(queries, *model[:2]), model[2]) if model else (np.arange(len(ids)) for _ in queries)
+                for q, rows in enumerate(found):
                     rows = rows[ids[rows] != query_ids[q]]
                     if len(rows):
                         d = distances(queries[q], vectors[rows])
