@@ -25,4 +25,5 @@ MERGE_GAP = 2
 SCORE_VERSION, BASELINE_KEY_VERSION = 1, 2
 SEVERITY_RANK = {"low": 0, "medium": 1, "high": 2}
 AXES = ("acyclicity", "levelization", "encapsulation", "equality", "redundancy", "cohesion", "coupling")
-TEST_PATH = r"(^|/)(tests?|__tests__|spec)/|\.(test|spec)\.[jt]sx?$|(^|/)test_[^/]*\.py$|_test\.py$"
+#: Files of tests: by ending or a folder of that one name; the last two are for Python sources.
+TEST_PATH = r"(?i)\.(test|spec)\.[cm]?[jt]sx?$|(^|/)__tests__/|(^|/)test_[^/]*\.py$|_test\.py$"

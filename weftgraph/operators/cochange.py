@@ -26,8 +26,10 @@ def cochange_pairs(items: DataFrame, min_support: int, min_ratio: float, max_ite
     sizes = rows.groupBy("sha").agg(F.count("*").alias("n")).where(F.col("n") <= max_items)
     rows = rows.join(sizes.select("sha"), "sha", "left_semi")
     frequency = rows.groupBy("file").agg(F.count("*").alias("f"))
-    a, b = rows.select("sha", "seq", F.col("file").alias("a")), rows.select("sha", F.col("file").alias("b"))
-    pairs = a.join(b, "sha").where(F.col("a") < F.col("b"))
+    # A commit's files are few now, so its pairs are made in its row.
+    sets = rows.groupBy("sha").agg(F.min("seq").alias("seq"), F.array_sort(F.collect_list("file")).alias("files")).where(F.size("files") > 1)
+    later = lambda a, i: F.transform(F.slice("files", i + 2, F.size("files")), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = sets.select("sha", "seq", F.explode(F.flatten(F.transform("files", later))).alias("p")).select("sha", "seq", "p.a", "p.b")
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("support"), F.min_by("sha", F.struct("seq", "sha")).alias("last")).where(F.col("support") >= min_support)
     fa, fb = frequency.select(F.col("file").alias("a"), F.col("f").alias("fa")), frequency.select(F.col("file").alias("b"), F.col("f").alias("fb"))
     out = pairs.join(fa, "a").join(fb, "b").withColumn("ratio", F.col("support") / F.least("fa", "fb").cast("double"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,23 +22,25 @@ def _worst() -> Column:
     return F.struct("a_file", "a_line", "a_name", "b_file", "b_line", "b_name", "ctype", "strength", "locality", "pressure", "evidence")
 
 
+def in_tests(path: Column | str) -> Column:
+    return E.to_posix(path).rlike(K.TEST_PATH)
 
 
-def grouped(edges: DataFrame, kind: str, key: Column, places: Column) -> DataFrame:
+def grouped(edges: DataFrame, kind: str, key: Column, places: Column, ends: str = "ab") -> DataFrame:
     """One finding for each key. Members are pre-aggregated by place, so a hot key moves each place once; the
-    worst edge is the foremost in edge order."""
+    worst edge is the foremost in edge order. A finding all of whose ends (a, b or both) are in tests is low."""
     rows = edges.withColumns({"key": key, "rank": rank_struct()})
     site = rows.select("key", "rank", F.explode(places).alias("p")).groupBy("key", F.col("p.file").alias("file"), F.col("p.line").alias("line")).agg(F.min_by("p.name", "rank").alias("name"))
     members = site.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("file", "line", "name"))).alias("members"))
-    worst = rows.groupBy("key").agg(F.count("*").alias("edges"), F.min_by(_worst(), "rank").alias("worst"))
+    tested = reduce(lambda x, y: x & y, (in_tests(f"{e}_file") for e in ends))
+    worst = rows.groupBy("key").agg(F.count("*").alias("edges"), F.min_by(_worst(), "rank").alias("worst"), F.bool_and(tested).alias("tested"))
     return _finished(worst.join(members, "key").withColumn("kind", F.lit(kind)))
 
 
-def _finished(df: DataFrame, tests_matter: bool = True) -> DataFrame:
+def _finished(df: DataFrame) -> DataFrame:
     w = F.col("worst")
     severity = E.severity_of(w["ctype"], w["strength"], w["locality"], w["pressure"])
-    only_tests = F.forall("members", lambda m: m["file"].rlike(K.TEST_PATH))
-    df = df.withColumns({"severity": F.when(only_tests & (F.col("kind") != "meaning"), "low").otherwise(severity), "pressure": w["pressure"], "strength": w["strength"], "heuristic": E.is_heuristic(w["ctype"])})
+    df = df.withColumns({"severity": F.when(F.col("tested") & (F.col("kind") != "meaning"), "low").otherwise(severity), "pressure": w["pressure"], "strength": w["strength"], "heuristic": E.is_heuristic(w["ctype"])})
     return df.select(*FINDING)
 
 
@@ -57,7 +61,7 @@ def position_findings(edges: DataFrame) -> DataFrame:
     rows = position_islands(edges)
     key = F.concat_ws("#", "b_file", F.col("island").cast("string"))
     params = rows.groupBy(key.alias("key")).agg(F.count_distinct("b_file", "b_line").alias("params")).where(F.col("params") >= 2)
-    return grouped(rows, "position", key, F.array(_place("a"), _place("b"))).join(params.select("key"), "key", "left_semi").select(*FINDING)
+    return grouped(rows, "position", key, F.array(_place("a"), _place("b")), "a").join(params.select("key"), "key", "left_semi").select(*FINDING)
 
 
 def name_findings(edges: DataFrame) -> DataFrame:
@@ -69,7 +73,7 @@ def name_findings(edges: DataFrame) -> DataFrame:
 
 def cycle_findings(cycles: DataFrame) -> DataFrame:
     """From file cycles: high, unless tests alone are in them."""
-    tests = F.forall("files", lambda f: f.rlike(K.TEST_PATH))
+    tests = F.forall("files", in_tests)
     members = F.transform("members", lambda m: F.struct(m["file"].alias("file"), m["line"].alias("line"), m["name"].alias("name")))
     w = F.col("worst")
     worst = F.struct(*(w[c].alias(c) for c in ("a_file", "a_line", "a_name", "b_file", "b_line", "b_name")), F.lit("name").alias("ctype"), w["strength"].alias("strength"), F.lit(0).alias("locality"), w["pressure"].alias("pressure"), F.lit("cycle").alias("evidence"))
@@ -84,7 +88,7 @@ def cluster_findings(edges: DataFrame, cycles: DataFrame | None = None) -> DataF
     of = lambda t: edges.where(F.col("ctype") == t)
     parts = [
         grouped(of("identity"), "identity", F.format_string("%s:%d", "b_file", "b_line"), F.array(_place("b"), _place("a"))),
-        grouped(of("meaning"), "meaning", F.regexp_extract("evidence", r"^literal (.*) at \d+ sites", 1), F.array(_place("b"))),
+        grouped(of("meaning"), "meaning", F.regexp_extract("evidence", r"(?s)^literal (.*) at \d+ sites", 1), F.array(_place("b"))),
         grouped(of("algorithm"), "algorithm", F.array_join(F.array_sort(F.array("a_name", "b_name")), "::"), F.array(_place("a"), _place("b"))),
         position_findings(edges),
         name_findings(edges),

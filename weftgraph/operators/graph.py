@@ -109,8 +109,8 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _distributed_components(edges: DataFrame, keep: Store, most_rounds: int) -> DataFrame:
-    """Trimming, then colours: the largest node that reaches each node; a colour's own node's component is what
-    reaches it back within the colour."""
+    """Colours: the largest node that reaches each node; a colour's own node's component is what reaches it back
+    within the colour. Each round settles at least a component for each colour that is left."""
     done, left = None, keep(edges, "graph")
     nodes = lambda e: e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
     open_nodes = keep(nodes(left), "nodes")
@@ -137,6 +137,9 @@ def _distributed_components(edges: DataFrame, keep: Store, most_rounds: int) ->
         done = reached if done is None else done.unionByName(reached)
         open_nodes = keep(open_nodes.join(reached, "node", "left_anti"), "nodes")
         left = keep(left.join(open_nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(open_nodes.withColumnRenamed("node", "dst"), "dst", "left_semi"), "graph")
+    else:
+        if not open_nodes.isEmpty():
+            raise RuntimeError(f"no strong components in {most_rounds} rounds")
     least = done.groupBy("color").agg(F.min("node").alias("component"))
     return keep(done.join(least, "color").select("node", "component"), "components")
 
@@ -151,6 +154,8 @@ def _distributed_levels(edges: DataFrame, component: DataFrame, keep: Store, mos
         if new.join(level.withColumnRenamed("level", "old"), "component").where("level <> old").isEmpty():
             break
         level = new
+    else:
+        raise RuntimeError(f"no levels in {most_rounds} rounds")
     return component.join(level, "component")
 
 
@@ -158,6 +163,7 @@ def components_and_levels(edges: DataFrame, small: int = SMALL, keep: Store = st
     """(node, component, level) of a graph (src, dst), where src depends on dst: the strong component's smallest
     node, and 1 more than the highest level of the components that it depends on. An empty graph gives no rows."""
     edges = edges.select(F.col("src").cast("string"), F.col("dst").cast("string")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    edges = keep(edges, "graph")  # it is counted, then solved
     if edges.limit(small + 1).count() <= small:
         return edges.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(_solve, "node string, component string, level int")
     component = _distributed_components(edges, keep, most_rounds)

@@ -160,9 +160,13 @@ def module_cycles(coupled: DataFrame) -> DataFrame:
     return rings.select("component", F.concat("m", F.slice("m", 1, 1)).alias("path"))
 
 
-def layering(coupled: DataFrame) -> DataFrame:
-    """(level, modules) bottom-up; no rows if there is any tangle or cycle."""
+def layering(coupled: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """(level, modules) bottom-up; no rows if there is any tangle or cycle. Of modules (name), those without
+    couplings are on the lowest level."""
     solved = components_and_levels(coupled.select("src", "dst"))
+    if modules is not None:
+        alone = modules.select(F.col("name").cast("string").alias("node")).distinct().join(solved, "node", "left_anti")
+        solved = solved.unionByName(alone.select("node", F.col("node").alias("component"), F.lit(1).alias("level")))
     cyclic = solved.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").limit(1)
     layers = solved.groupBy("level").agg(F.array_sort(F.collect_list("node")).alias("modules"))
     return layers.join(cyclic, F.lit(True), "left_anti")
@@ -170,7 +174,7 @@ def layering(coupled: DataFrame) -> DataFrame:
 
 def architecture(edges: DataFrame, modules: DataFrame) -> dict[str, DataFrame]:
     coupled = couplings(edges, membership(modules))
-    return {"modules": modules, "dependencies": coupled, "tangles": tangles(coupled), "cycles": module_cycles(coupled), "mismatches": mismatches(modules), "layers": layering(coupled)}
+    return {"modules": modules, "dependencies": coupled, "tangles": tangles(coupled), "cycles": module_cycles(coupled), "mismatches": mismatches(modules), "layers": layering(coupled, modules)}
 
 
 def contracted_weight(weight: DataFrame, member: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from weftgraph.functions import exprs as E
 from weftgraph.operators import cohesion, diff, findings, graph, modules, quality, scoring
 from weftgraph.operators.detectors import detect
-from weftgraph.sources.config import config_hash, validate
+from weftgraph.sources.config import architecture_violations, config_hash, validate
 
 
 @dataclass
@@ -63,8 +63,15 @@ class Scan:
         return modules.architecture(self.edges, self.module_levels.where(f"level = {level}").drop("level"))
 
     def violations(self) -> DataFrame:
+        """Of thresholds, of the gate, and of the architecture's bounds, whose parts are only made if one is set."""
         gate = self.config.get("gate")
-        return diff.violations(self.edges, self.config.get("thresholds"), (gate["minStrength"], gate["minLocality"]) if gate else None)
+        found = diff.violations(self.edges, self.config.get("thresholds"), (gate["minStrength"], gate["minLocality"]) if gate else None)
+        if not self.config.get("architecture"):
+            return found
+        parts = self.architecture()
+        counts = {k: parts[k].count() for k in ("tangles", "cycles", "mismatches")} | {"depth": graph.levelization(self.solved).first()["depth"]}
+        bad = [(kind, message, counts[message.split()[1].rstrip(",")]) for kind, message in architecture_violations(counts, self.config)]
+        return found.unionByName(self.edges.sparkSession.createDataFrame(bad, found.schema))
 
 
 def scan(nodes: DataFrame, refs: DataFrame, config: dict | None = None, with_types: bool = False) -> Scan:

@@ -179,8 +179,10 @@ def with_identities(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     once = defs.groupBy("structure_hash").agg(F.count("*").alias("n")).where("n = 1").select("structure_hash", F.col("structure_hash").alias("own"))
     base = nodes.drop("identity_hash").join(once, "structure_hash", "left")
     owner = base.where(F.col("own").isNotNull()).select(F.col("id").alias("o_id"), F.col("own").alias("o_hash"))
+    # Only parameters and arguments are numbered, so the window's groups are a function's or a call's few.
     slot = F.row_number().over(Window.partitionBy("parent_id", "kind").orderBy("start_line", "start_col", "seq")) - 1
-    rows = base.withColumn("_slot", F.when(F.col("kind").isin("parameter", "argument"), slot))
+    placed = nodes.where(F.col("kind").isin("parameter", "argument")).select(F.col("id").alias("s_id"), slot.alias("_slot"))
+    rows = base.join(placed, base["id"] == placed["s_id"], "left").drop("s_id")
     calls = nodes.where("kind = 'call'").select(F.col("id").alias("c_id"), F.col("parent_id").alias("ref_id")).join(refs, "ref_id").join(owner.select(F.col("o_id").alias("def_id"), F.col("o_hash").alias("callee")), "def_id").select("c_id", "callee")
     rows = rows.join(owner, F.when(F.col("kind") == "parameter", F.col("parent_id")).otherwise(F.col("owner_def_id")) == F.col("o_id"), "left").join(calls, F.col("parent_id") == F.col("c_id"), "left")
     text = F.col("_slot").cast("string")

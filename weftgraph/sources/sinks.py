@@ -39,8 +39,9 @@ def read_scan(spark, path: str) -> DataFrame:
     return rows.where(F.col("ctype").isNotNull() & F.col("a_id").isNotNull() & F.col("b_id").isNotNull())
 
 
-def sarif(edges: DataFrame, root: str = "", cycles: DataFrame | None = None, cochange: DataFrame | None = None, top: int = 5000, version: str = "0.1.0") -> str:
-    """SARIF 2.1.0: a rule for each type, cycles and co-change; the foremost edges as results."""
+def sarif(edges: DataFrame, root: str = "", cycles: DataFrame | None = None, cochange: DataFrame | None = None, top: int = 0, version: str = "0.1.0") -> str:
+    """SARIF 2.1.0: a rule for each type, cycles and co-change; all edges as results, foremost first, or with top so
+    many of each kind, and how many there are. One document is made by the driver: ``scan_json`` writes any number."""
     rules = [{"id": t, "shortDescription": {"text": f"coupling by {t}"}, "properties": {"heuristic": t in K.HEURISTIC, "strength": s}} for t, s in K.STRENGTH.items()]
     rules += [{"id": i, "shortDescription": {"text": i}, "properties": {"heuristic": h, "strength": 0}} for i, h in (("cycle", False), ("co-change", True))]
 
@@ -52,6 +53,7 @@ def sarif(edges: DataFrame, root: str = "", cycles: DataFrame | None = None, coc
         return {"physicalLocation": {"artifactLocation": {"uri": uri(path)}, "region": {"startLine": max(1, line)}}}
 
     results = []
+    totals = {"edges": edges.count()} if top else {}
     for e in _rows(edges.withColumn("level", E.sarif_level("strength")), *edge_order(), top=top):
         results.append({"ruleId": e["ctype"], "level": e["level"], "message": {"text": f"{e['evidence']} (strength {e['strength']}, locality {e['locality']}, degree {e['degree']})"}, "locations": [at(e["a_file"], e["a_line"]), at(e["b_file"], e["b_line"])], "partialFingerprints": {"b": f"{uri(e['b_file'])}#{e['b_name']}"}})
     for c in _rows(cycles, "component", top=top) if cycles is not None else []:
@@ -59,7 +61,7 @@ def sarif(edges: DataFrame, root: str = "", cycles: DataFrame | None = None, coc
         results.append({"ruleId": "cycle", "level": "error", "message": {"text": f"{len(files)} files depend on each other: {', '.join(files)}"}, "locations": [at(m["file"], m["line"]) for m in c["members"]], "partialFingerprints": {"cycle": "|".join(files)}})
     for p in _rows(cochange, F.desc("ratio"), F.desc("support"), "a", "b", top=top) if cochange is not None else []:
         results.append({"ruleId": "co-change", "level": "note", "message": {"text": f"changed together {p['support']} times, {p['ratio']:.2f} of the rarer one's"}, "locations": [at(p["a"], 1), at(p["b"], 1)], "partialFingerprints": {"pair": f"{uri(p['a'])}|{uri(p['b'])}"}})
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "weftgraph", "version": version, "rules": rules}}, "results": results}]}, indent=1)
+    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "weftgraph", "version": version, "rules": rules}}, "results": results, **({"properties": {"shown": top, **totals}} if top else {})}]}, indent=1)
 
 
 def html_page(title: str, edges: DataFrame, hotspots: DataFrame, axes: DataFrame | None = None, top: int = 25) -> str:
