@@ -49,7 +49,7 @@ def corpus(seed=1):
     return texts
 
 
-@pytest.mark.parametrize("join", [N.Join(), N.Join(words=5, percent=80), N.Join(leaf=3, depth=4, block=4, block_shingles=500)])
+@pytest.mark.parametrize("join", [N.Join(), N.Join(words=5, percent=80), N.Join(leaf=3, depth=4, block=4, block_shingles=500), N.Join(leaf=8, block=4, block_shingles=500, spread=1)])
 def test_near_duplicates(spark, join):
     texts = corpus()
     got = {r.doc_id: r for r in N.near_duplicates(docs(spark, texts), join).collect()}
@@ -58,6 +58,35 @@ def test_near_duplicates(spark, join):
     assert [(got[i].n_shingles, got[i].component_id, got[i].kept) for i in range(len(texts))] == [(n, c, c == i) for i, (n, c) in enumerate(want)]
 
 
+def test_sets_that_share_a_hash_stay_apart(spark, monkeypatch):
+    """All first hashes are one: sets are told apart by the second."""
+    sets = N._setting
+
+    def alike(join):
+        import pyarrow as pa
+
+        make = sets(join)
+
+        def run(batches):
+            for b in make(batches):
+                n = b.column("n_shingles").to_numpy()
+                yield b.set_column(b.schema.get_field_index("set_a"), "set_a", pa.array(np.where(n > 0, 5, 0)))
+
+        return run
+
+    monkeypatch.setattr(N, "_setting", alike)
+    monkeypatch.setattr(N, "_confirming", lambda join, keys, old=N._confirming: lambda batches: old(join, keys)(b.set_column(b.schema.get_field_index("set_a"), "set_a", __import__("pyarrow").array([_first(t.as_py(), join) for t in b.column("text")])) for b in batches))
+
+    def _first(text, join):
+        return N._named(N.shingles([(text or "").encode()], join.words)[0])[0]
+
+    r = random.Random(8)
+    base = [words(r, 60) for _ in range(6)]
+    texts = [x for b in base for x in (b, b + " end", b)]
+    got = {x.doc_id: x.component_id for x in N.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(brute(texts, 3, 85))} and len(set(got.values())) == 6
+
+
 def test_repeated_and_null_ids(spark):
     t = words(random.Random(2), 40)
     got = N.near_duplicates(docs(spark, [t, t, t + " x", t, "other words are here"], [7, 7, 3, None, 7])).collect()

@@ -13,7 +13,12 @@ document of one goes to the component's task once, where all pairs of components
 compared exactly. Nothing emits all pairs of a group.
 
 Leaves, and components with many members or shingles, are bounded: what is larger is cut into blocks, and
-every pair of blocks is compared in a task of its own.
+every pair of blocks is compared in a task of its own. A component of more than ``spread`` blocks (candidates chain
+where many texts share a template) isn't compared as a whole: its texts go to their leaves, so that a text is copied
+for each leaf and not for each block, and links are confirmed among a leaf's members.
+
+Sets are told apart by two hashes of 64 bits each. The first also names a set's node; of sets that share it, all
+but one are named by both.
 
 Defined results: null texts, empty ones and those without words have the empty set, their own id as
 component and no links; equal rows are linked as copies; ids that repeat with other texts are kept apart; null
@@ -51,6 +56,8 @@ class Join:
     #: Members and shingles in a task at most; larger groups are cut into blocks.
     block: int = 1500
     block_shingles: int = 3_000_000
+    #: Blocks from which a component's texts go to their leaves.
+    spread: int = 16
 
     @property
     def least_tokens(self) -> int:
@@ -336,13 +343,13 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return forest(len(sets), linked)
 
 
-def _confirming(join: Join) -> Callable:
+def _confirming(join: Join, keys: tuple[str, ...]) -> Callable:
     def run(batches):
         import pyarrow as pa
 
-        for t in _in_groups(batches, CLUSTER_KEYS):
-            node = t.column("node").to_numpy()
-            cuts, found = _groups(t, CLUSTER_KEYS), []
+        for t in _in_groups(batches, keys):
+            node, set_a, set_b = (t.column(c).to_numpy() for c in ("node", "set_a", "set_b"))
+            cuts, found = _groups(t, keys), []
             texts = t.column("text")
             # Several groups to a part, by their bytes.
             a = 0
@@ -354,7 +361,7 @@ def _confirming(join: Join) -> Callable:
                     size += sum(map(len, new))
                     b += 1
                 sets = [s for _, p in _parts(part) for s in shingles(p, join.words)]
-                same = np.array([len(s) > 0 and mix(s.sum(keepdims=True)).view(np.int64)[0] == node[cuts[a] + i] for i, s in enumerate(sets)])
+                same = np.array([len(s) > 0 and _named(s) == (set_a[cuts[a] + i], set_b[cuts[a] + i]) for i, s in enumerate(sets)])
                 for g in range(a, b):
                     rows = np.arange(cuts[g], cuts[g + 1])
                     rows = rows[same[rows - cuts[a]]]
@@ -370,6 +377,11 @@ def _confirming(join: Join) -> Callable:
     return run
 
 
+def _named(s: np.ndarray) -> tuple[int, int]:
+    """set_a and set_b of a set, as ``_setting`` makes them."""
+    return int(mix(s.sum(keepdims=True)).view(np.int64)[0]), int(mix(s ^ _place[0]).sum(keepdims=True).view(np.int64)[0])
+
+
 def _blocked(rows: DataFrame, key: str, blocks) -> DataFrame:
     """Rows with part_a and part_b: a row of block x goes to every pair of blocks that has x."""
     rows = rows.withColumn("_n", blocks).withColumn("_x", F.pmod(F.xxhash64("node"), F.col("_n")))
@@ -377,8 +389,9 @@ def _blocked(rows: DataFrame, key: str, blocks) -> DataFrame:
     return rows.withColumn("part_a", F.least("_x", "_y")).withColumn("part_b", F.greatest("_x", "_y")).drop("_n", "_x", "_y")
 
 
-def _tree_edges(nodes: DataFrame, join: Join) -> DataFrame:
-    """Candidate edges (a, b) of nodes (node, n_shingles, tokens), from the leaves of all trees."""
+def _tree_edges(nodes: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """Candidate edges (a, b) of nodes (node, n_shingles, tokens), from the leaves of all trees; and the leaves'
+    members (node and LEAF_KEYS)."""
     rows = stored(nodes.select("node", "tokens").mapInArrow(_branching(join, True), "path long, node long"), "paths")
     leaves = []
     for depth in range(1, join.depth + 1):
@@ -400,8 +413,8 @@ def _tree_edges(nodes: DataFrame, join: Join) -> DataFrame:
         members = members.unionByName(x)
     members = _blocked(members, "path", F.ceil(F.col("n") / join.block)).select("node", *LEAF_KEYS)
     sketches = nodes.select("node", "n_shingles", "tokens").mapInArrow(_sketching, "node long, n_shingles long, sketch binary")
-    members = members.join(sketches, "node").repartition(*LEAF_KEYS).sortWithinPartitions(*LEAF_KEYS)
-    return members.mapInArrow(_leaves(join), "a long, b long")
+    rows = members.join(sketches, "node").repartition(*LEAF_KEYS).sortWithinPartitions(*LEAF_KEYS)
+    return rows.mapInArrow(_leaves(join), "a long, b long"), members
 
 
 def _sketching(batches):
@@ -427,24 +440,33 @@ def _grouped(docs: DataFrame, join: Join | None = None) -> DataFrame:
     sets = stored(docs.mapInArrow(_setting(join), SETS), "sets")
     full = sets.where("n_shingles > 0")
     nodes = full.groupBy("set_a", "set_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash", "n_shingles", "tokens")).alias("x"))
-    nodes = stored(nodes.select(F.col("set_a").alias("node"), "x.doc_id", "x.text_hash", "x.n_shingles", "x.tokens"), "nodes")
-    candidates = connected_components(_tree_edges(nodes, join), stored)
+    # Few sets, if any, share their first hash: this table is as small as chance makes it.
+    shared = nodes.groupBy(F.col("set_a").alias("shared")).agg(F.count("*").alias("n"), F.min("set_b").alias("least")).where("n > 1").select("shared", "least")
+    nodes = nodes.join(shared, F.col("set_a") == F.col("shared"), "left")
+    name = F.when(F.col("set_b") > F.col("least"), F.xxhash64("set_a", "set_b")).otherwise(F.col("set_a"))
+    nodes = stored(nodes.select(name.alias("node"), "set_a", "set_b", "x.doc_id", "x.text_hash", "x.n_shingles", "x.tokens"), "nodes")
+    edges, leaves = _tree_edges(nodes, join)
+    candidates = connected_components(edges, stored)
     # Those with a candidate, and how many blocks their group needs.
-    members = candidates.select("node", F.col("component").alias("cluster")).join(nodes.select("node", "doc_id", "text_hash", "n_shingles"), "node")
+    members = candidates.select("node", F.col("component").alias("cluster")).join(nodes.select("node", "set_a", "set_b", "doc_id", "text_hash", "n_shingles"), "node")
     members = stored(members, "members")
     sizes = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / join.block, F.sum("n_shingles") / join.block_shingles)).alias("blocks"))
-    members = members.join(sizes, "cluster").select("node", "cluster", "doc_id", "text_hash", "blocks")
+    members = members.join(sizes, "cluster").select("node", "set_a", "set_b", "cluster", "doc_id", "text_hash", "blocks")
     few = members.count() <= BROADCAST_MEMBERS
     members = F.broadcast(members) if few else members
-    texts = docs.join(members, docs["doc_id"].eqNullSafe(members["doc_id"]) & (docs["text_hash"] == members["text_hash"])).select("node", "cluster", "blocks", "text")
-    texts = _blocked(texts, "cluster", F.col("blocks")).select("node", "text", *CLUSTER_KEYS)
-    confirmed = texts.repartition(*CLUSTER_KEYS).sortWithinPartitions(*CLUSTER_KEYS).mapInArrow(_confirming(join), "a long, b long")
+    texts = docs.join(members, docs["doc_id"].eqNullSafe(members["doc_id"]) & (docs["text_hash"] == members["text_hash"])).select("node", "set_a", "set_b", "cluster", "blocks", "text")
+    own = ("node", "set_a", "set_b", "text")
+    small = _blocked(texts.where(F.col("blocks") <= join.spread), "cluster", F.col("blocks")).select(*own, *CLUSTER_KEYS)
+    confirmed = small.repartition(*CLUSTER_KEYS).sortWithinPartitions(*CLUSTER_KEYS).mapInArrow(_confirming(join, CLUSTER_KEYS), "a long, b long")
+    if not sizes.where(F.col("blocks") > join.spread).isEmpty():
+        large = texts.where(F.col("blocks") > join.spread).join(leaves, "node").select(*own, *LEAF_KEYS)
+        confirmed = confirmed.unionByName(large.repartition(*LEAF_KEYS).sortWithinPartitions(*LEAF_KEYS).mapInArrow(_confirming(join, LEAF_KEYS), "a long, b long"))
     linked = connected_components(confirmed, stored)
-    named = nodes.select("node", "doc_id").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.select("node", "set_a", "set_b", "doc_id").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    names = named.join(least, "component").select(F.col("node").alias("set_a"), "component", "component_id")
+    names = named.join(least, "component").select("set_a", "set_b", "component", "component_id")
     empty = sets.where("n_shingles = 0").drop("tokens").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
-    return full.drop("tokens").join(names, "set_a").unionByName(empty)
+    return full.drop("tokens").join(names, ["set_a", "set_b"]).unionByName(empty)
 
 
 def near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFrame:
