@@ -6,12 +6,14 @@ bounded loops of joins, each round of which is written to storage.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators.scoring import rank_struct
@@ -21,15 +23,23 @@ Store = Callable[[DataFrame, str], DataFrame]
 _folders: dict[str, str] = {}
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """df written to ``spark.checkpoint.dir`` and read again; only a local session may lack that setting."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in ``spark.checkpoint.dir`` that nothing used before; only a local session may lack that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _folders.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='weftgraph-')}")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        if app not in _folders:
+            _folders[app] = f"file://{tempfile.mkdtemp(prefix='weftgraph-')}"
+            atexit.register(shutil.rmtree, _folders[app].removeprefix("file://"), ignore_errors=True)
+        base = _folders[app]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """df written to a fresh path and read again."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -37,10 +37,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from weftgraph.plans import more  # noqa: F401  its queries add themselves
+
     return dict(QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    from weftgraph.plans import more  # noqa: F401
+
     return dict(ORACLES)
 
 
