@@ -353,8 +353,7 @@ def tangles_nations(spark, d):
 
 
 @query(f"""WITH l AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS doc_id, line FROM {_LINES} WHERE length(line) >= 2),
-few AS (SELECT line FROM l GROUP BY line HAVING count(*) <= 50),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM l x JOIN l y ON x.line = y.line AND x.doc_id < y.doc_id WHERE x.line IN (SELECT line FROM few) GROUP BY 1, 2 HAVING count(*) >= 2)
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM l x JOIN l y ON x.line = y.line AND x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT a, b, shared FROM p""")
 def affinity_documents(spark, d):
     return CH.shared_pairs(_document_lines(spark, d)).select("a", "b", "shared")
@@ -366,8 +365,7 @@ def _document_lines(spark, d):
 
 
 @query(f"""WITH RECURSIVE l AS (SELECT DISTINCT doc_id, line FROM {_LINES} WHERE length(line) >= 2),
-few AS (SELECT line FROM l GROUP BY line HAVING count(*) <= 50),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM l x JOIN l y ON x.line = y.line AND x.doc_id <> y.doc_id WHERE x.line IN (SELECT line FROM few) GROUP BY 1, 2 HAVING count(*) >= 2),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM l x JOIN l y ON x.line = y.line AND x.doc_id <> y.doc_id GROUP BY 1, 2 HAVING count(*) >= 2),
 walk AS (SELECT a AS node, a AS other FROM p UNION SELECT w.node, p.b FROM walk w JOIN p ON p.a = w.other)
 SELECT CAST(node AS VARCHAR) AS node, CAST(min(other) AS VARCHAR) AS component FROM walk GROUP BY node""")
 def cc_documents(spark, d):
