@@ -92,6 +92,26 @@ def test_history(spark, project):
         history.materialize(str(project), "nothing")
 
 
+def test_command_line(spark, project, tmp_path, monkeypatch):
+    import io
+
+    from weftgraph.cli import run
+
+    def call(*argv):
+        out, err = io.StringIO(), io.StringIO()
+        return run(list(argv), spark, out, err), out.getvalue(), err.getvalue()
+
+    monkeypatch.chdir(tmp_path)
+    assert call("scan")[0] == 2 and call("scan", "x", "--type=size")[0] == 2 and call("explain", "x")[0] == 2 and call("scan", "x", "--top=-1")[0] == 2 and call("scan", "x", "--config=none.yml")[0] == 2
+    (tmp_path / "c.yml").write_text("thresholds: {position: 1}\n")
+    code, text, err = call("scan", str(project), "--config=c.yml", "--type=position", "--top=2", "--co-change=off")
+    assert code == 1 and "position 12" in text and "and 10 more" in text and "quality" in text and err.startswith("violation: position: 12 edges")
+    code, text, err = call("diff", f"--repo={project}", "--base=HEAD~1", "--format=json")
+    assert code == 1 and json.loads(text)["cycles"] == 1
+    assert call("diff", f"--repo={project}", "--base=nothing")[0] == 2
+    assert "b.py:3" in call("explain", str(project), "--", "b.py:3")[1]
+
+
 EVENTS = [
     ("session.created", "/w", "s", None, None, ["k1"]), ("session.step.ended", "/w/", "s", "tool-calls", None, ["k1", "k2"]), ("session.step.ended", "/W", "s", "stop", None, ["k1", "k2"]), ("session.idle", None, "s", None, None, ["k1", "k2", "k3"]),
     ("session.status", "/w", "s", None, "busy", ["k1"]), ("session.status", "/w", "s", None, "idle", ["k1", "k2", "k3"]), ("session.idle", "/other", "s", None, None, ["k9"]), ("file.edited", "/w", "s", None, None, []), ("session.idle", "/w", None, None, None, []),
@@ -119,6 +139,28 @@ def test_sessions(spark, tmp_path):
     assert sorted((r.kind, r.edge_key or "") for r in spark.read.parquet(out).collect()) == sorted((k, e or "") for k, e in want)
 
 
+def test_scan_loop(spark, tmp_path):
+    """One scan for a batch, whoever ends a turn; a new loop goes on from what was stored."""
+    rows = lambda *r: spark.createDataFrame(list(r), "session_id string, intent string, state string")
+    scans, told = [], []
+
+    def loop(*keys):
+        def scan_keys():
+            scans.append(keys)
+            return spark.createDataFrame([(k,) for k in keys], "edge_key string")
+
+        return T.scan_loop(rows(("", "", "")), scan_keys, str(tmp_path / "b"), str(tmp_path / "log"), lambda s, new: told.append((s, sorted(r.edge_key for r in new.collect()))))
+
+    loop("k1")(rows(("s", "created", None), ("t", "activity", "active")), 0)
+    loop("k1", "k2")(rows(("s", "activity", "idle"), ("s", "activity", "idle"), ("t", "activity", "idle")), 1)
+    loop("k1", "k2", "k3")(rows(("s", "activity", "idle"), ("t", "activity", "idle")), 2)
+    loop("k1", "k2", "k3")(rows(("s", "activity", "idle"), ("t", "activity", "active")), 3)
+    assert len(scans) == 4 and told == [("s", ["k2"]), ("s", ["k3"]), ("t", ["k3"])]
+    loop("k9")(rows(("s", "deleted", None)), 4)
+    assert len(scans) == 4 and [r.session_id for r in T.read_baselines(spark, str(tmp_path / "b")).collect()] == ["t"]
+    assert sorted((r.session_id, r.baselines, r.fresh, r.ended) for r in T.session_report(spark.read.json(str(tmp_path / "log"))).collect()) == [("s", 1, 2, True), ("t", 1, 1, False)]
+
+
 def test_stale_baseline_and_store(spark, tmp_path):
     s = T.Session()
     assert list(s.step("created", None, ["a"], "1/x")) == [("baseline", None)] and list(s.step("created", None, ["z"], "1/x")) == []

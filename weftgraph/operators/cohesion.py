@@ -106,6 +106,14 @@ def file_splits(edges: DataFrame, keep: Store = store) -> DataFrame:
     return out.where(F.size("groups") >= K.SPLIT_GROUPS)
 
 
+def cohesion_order() -> tuple:
+    return F.desc("external_fan_in"), F.desc(F.size("clusters")), F.desc("external_edges"), F.asc("dir")
+
+
+def split_order() -> tuple:
+    return F.desc(F.size("groups")), F.asc("file")
+
+
 def cohesion_advice(fan_in: int, clusters: list[list[str]]) -> list[str]:
     """What to do about a directory."""
     out = []

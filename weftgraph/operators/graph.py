@@ -16,8 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators.scoring import rank_struct
-
 SMALL = 200_000
 Store = Callable[[DataFrame, str], DataFrame]
 _folders: dict[str, str] = {}
@@ -200,10 +198,11 @@ def file_cycles(edges: DataFrame, solved: DataFrame | None = None, least: int =
     inside = sure.join(member.select(F.col("node").alias("a_file"), F.col("component").alias("component")), "a_file").join(member.select(F.col("node").alias("b_file"), F.col("component").alias("_b")), "b_file").where("component = _b")
     # The first edge in order that touches a file names its place there.
     place = lambda p: F.struct(F.col(f"{p}_name").alias("name"), F.col(f"{p}_file").alias("file"), F.col(f"{p}_line").alias("line"))
-    touch = inside.select("component", F.explode(F.array(place("a"), place("b"))).alias("place"), rank_struct().alias("rank"))
+    rank = F.struct(-F.coalesce("pressure", F.lit(0.0)), -F.col("strength"), -F.col("locality"), -F.col("degree"), "a_file", "a_line", "b_file", "b_line", "seq")
+    touch = inside.select("component", F.explode(F.array(place("a"), place("b"))).alias("place"), rank.alias("rank"))
     first = touch.groupBy("component", F.col("place.file").alias("file")).agg(F.min_by("place", "rank").alias("place"))
     members = first.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("file", "place"))), lambda x: x["place"]).alias("members"))
-    worst = inside.groupBy("component").agg(F.count("*").alias("edges"), F.min_by(F.struct("a_file", "a_line", "a_name", "b_file", "b_line", "b_name", "strength", "pressure"), rank_struct()).alias("worst"))
+    worst = inside.groupBy("component").agg(F.count("*").alias("edges"), F.min_by(F.struct("a_file", "a_line", "a_name", "b_file", "b_line", "b_name", "strength", "pressure"), rank).alias("worst"))
     files = member.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("files"))
     return files.join(worst, "component").join(members, "component")
 

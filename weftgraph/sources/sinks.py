@@ -118,6 +118,28 @@ def cochange_lines(pairs: DataFrame, top: int = 20) -> list[str]:
     return listing([f"{p['a']} and {p['b']}: {p['support']} commits, {p['ratio']:.2f}" for p in rows], len(rows), total)
 
 
+def quality_lines(score: DataFrame, axes: DataFrame) -> list[str]:
+    one = _rows(score)[0]
+    return [f"quality {one['score']:.0f} of 10000: " + ", ".join(f"{a['key']} {a['value']:.2f}" for a in _rows(axes.withColumn("_n", F.array_position(F.array(*map(F.lit, K.AXES)), F.col("key"))), "_n"))]
+
+
+def pressure_lines(pressure: DataFrame) -> list[str]:
+    p = _rows(pressure)[0]
+    return [f"pressure {p['total']:.2f} over {p['edges']} edges, mean {p['mean']:.3f}, most {p['most']:.2f}"]
+
+
+def cohesion_lines(dirs: DataFrame, splits: DataFrame, top: int = 20) -> list[str]:
+    """Directories and files that hold several concerns, with what to do."""
+    from weftgraph.operators.cohesion import cohesion_advice, cohesion_order, split_order
+
+    out = []
+    for r in _rows(dirs, *cohesion_order(), top=top):
+        out += [f"{r['dir']}: {x}" for x in cohesion_advice(r["external_fan_in"], r["clusters"])]
+    for r in _rows(splits, *split_order(), top=top):
+        out.append(f"{r['file']}: {len(r['groups'])} groups that share nothing: " + "; ".join(", ".join(m["name"] for m in g) for g in r["groups"]))
+    return out
+
+
 def level_lines(solved: DataFrame, top: int = 20) -> list[str]:
     total = solved.count()
     rows = _rows(solved.select("node", "level"), F.desc("level"), "node", top=top)

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from weftgraph.functions import constants as K
 from weftgraph.functions import exprs as E
+from weftgraph.operators.graph import store
 
 EVENTS = "type string, directory string, session_id string, finish string, status string, seq bigint"
 TURN_ENDS = ("stop",)
@@ -127,6 +128,86 @@ def report_batch(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").applyInPandas(run, REPORT)
 
 
+def scan_loop(events: DataFrame, scan_keys, baselines: str, log: str, report=None, options=None):
+    """For ``foreachBatch`` of classified events: (batch, id) -> None.
+
+    A micro-batch in which some session's turn ends is one scan, however many sessions end: ``scan_keys()`` gives
+    (edge_key), distinct. A session's baseline is the persisted one if there is one (of this formula, see ``stamp``),
+    else this scan, which is then stored; edges beyond baseline and what was told before are told once, by
+    ``report(session_id, new)``, and logged; a session that is deleted has its baseline removed. States of earlier
+    batches are read from the log, so a restarted stream goes on where it was. Failures of the scan are logged and
+    the stream goes on.
+    """
+    spark = events.sparkSession
+    key_stamp = (options or {}).get("stamp", stamp(""))
+
+    def told() -> DataFrame:
+        try:
+            return spark.read.schema("kind string, session_id string, edge_key string").json(log)
+        except Exception as e:  # noqa: BLE001  nothing is logged yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], "kind string, session_id string, edge_key string")
+
+    def known() -> DataFrame:
+        try:
+            rows = read_baselines(spark, baselines)
+            rows.limit(1).count()
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], "at string, keys array<string>, score_version int, config_hash string, count long, session_id string")
+        return rows.withColumn("session_id", F.col("session_id").cast("string")).where(F.concat_ws("/", "score_version", "config_hash") == key_stamp)
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            gone = batch.where("intent = 'deleted'").select("session_id").distinct()
+            ended = batch.where("state = 'idle' OR intent = 'created'").select("session_id").distinct().join(gone, "session_id", "left_anti")
+            ids = [r["session_id"] for r in ended.collect()]
+            if ids:
+                now = scan_keys().select("edge_key").distinct().persist()
+                base = known().join(ended, "session_id", "left_semi").persist()
+                new = ended.join(base, "session_id", "left_anti")
+                keys = now.agg(F.array_sort(F.collect_list("edge_key")).alias("keys"))
+                fresh = base.select("session_id", "keys").join(now).where(~F.array_contains("keys", F.col("edge_key"))).select("session_id", "edge_key")
+                # Stored, as the log that it is read against is then appended to.
+                fresh = store(fresh.join(told().where("kind = 'fresh'").select("session_id", "edge_key"), ["session_id", "edge_key"], "left_anti"), "fresh")
+                version, config = key_stamp.split("/", 1)
+                rows = new.join(keys).select("session_id", F.lit(f"batch {batch_id}").alias("at"), "keys", F.lit(int(version)).alias("score_version"), F.lit(config).alias("config_hash"))
+                append_log(fresh.select(F.lit("fresh").alias("kind"), "session_id", "edge_key").unionByName(new.select(F.lit("baseline").alias("kind"), "session_id", F.lit(None).cast("string").alias("edge_key"))), log)
+                if report is not None:
+                    for session_id in sorted(ids):
+                        mine = fresh.where(F.col("session_id") == session_id)
+                        if not mine.isEmpty():
+                            report(session_id, mine)
+                write_baselines(rows, baselines)
+                for x in (now, base):
+                    x.unpersist()
+            for r in gone.collect():
+                remove_baseline(spark, baselines, r["session_id"])
+                append_log(spark.createDataFrame([("ended", r["session_id"], None)], "kind string, session_id string, edge_key string"), log)
+        finally:
+            batch.unpersist()
+
+    return isolated(one, log)
+
+
+def remove_baseline(spark, folder: str, session_id: str) -> None:
+    """A session's baselines of all key versions go."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    name = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(session_id)
+    for found in files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "key_version=*/session_id=*")) or []:
+        if found.getPath().getName() == f"session_id={name}":
+            files.delete(found.getPath(), True)
+
+
+def session_report(log: DataFrame) -> DataFrame:
+    """(session_id, baselines, fresh, ended) of a log."""
+    return log.where(F.col("session_id").isNotNull()).groupBy("session_id").agg(F.count_if(F.col("kind") == "baseline").alias("baselines"), F.count_if(F.col("kind") == "fresh").alias("fresh"), F.bool_or(F.col("kind") == "ended").alias("ended"))
+
+
 def fresh_stream(edges: DataFrame) -> DataFrame:
     """Each (session_id, edge_key) of a stream once."""
     return edges.dropDuplicates(["session_id", "edge_key"])
