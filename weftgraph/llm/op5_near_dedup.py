@@ -440,11 +440,13 @@ def _grouped(docs: DataFrame, join: Join | None = None) -> DataFrame:
     sets = stored(docs.mapInArrow(_setting(join), SETS), "sets")
     full = sets.where("n_shingles > 0")
     nodes = full.groupBy("set_a", "set_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash", "n_shingles", "tokens")).alias("x"))
-    # Few sets, if any, share their first hash: this table is as small as chance makes it.
+    nodes = stored(nodes.select(F.col("set_a").alias("node"), "set_a", "set_b", "x.doc_id", "x.text_hash", "x.n_shingles", "x.tokens"), "nodes")
+    # Mostly no sets share their first hash, and then the nodes needn't move again.
     shared = nodes.groupBy(F.col("set_a").alias("shared")).agg(F.count("*").alias("n"), F.min("set_b").alias("least")).where("n > 1").select("shared", "least")
-    nodes = nodes.join(shared, F.col("set_a") == F.col("shared"), "left")
-    name = F.when(F.col("set_b") > F.col("least"), F.xxhash64("set_a", "set_b")).otherwise(F.col("set_a"))
-    nodes = stored(nodes.select(name.alias("node"), "set_a", "set_b", "x.doc_id", "x.text_hash", "x.n_shingles", "x.tokens"), "nodes")
+    shared = stored(shared, "shared-hashes")
+    if not shared.isEmpty():
+        name = F.when(F.col("set_b") > F.col("least"), F.xxhash64("set_a", "set_b")).otherwise(F.col("set_a"))
+        nodes = stored(nodes.join(shared, F.col("set_a") == F.col("shared"), "left").withColumn("node", name).drop("shared", "least"), "nodes")
     edges, leaves = _tree_edges(nodes, join)
     candidates = connected_components(edges, stored)
     # Those with a candidate, and how many blocks their group needs.
