@@ -15,8 +15,6 @@ from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 _caches: dict[str, dict] = {}
-#: The operator that this worker runs.
-_owner: list[str] = []
 #: Rows in an Arrow batch at most: texts are long, and batches are held by the JVM and by Python.
 BATCH_ROWS = 1000
 
@@ -28,26 +26,13 @@ def cache(owner: str) -> dict:
 
 def only(owner: str) -> dict:
     """The owner's cache; a worker that comes to another operator drops what earlier ones kept, so that its memory
-    is that of one operator and not of all, and gives back to the system what it had freed."""
-    others = [kept for name, kept in _caches.items() if name != owner and kept]
-    for kept in others:
-        kept.clear()
-    if others or not _owner or _owner[0] != owner:
-        _owner[:] = [owner]
-        _trim()
+    is that of one operator and not of all."""
+    for name, kept in _caches.items():
+        if name != owner:
+            kept.clear()
     return cache(owner)
 
 
-def _trim() -> None:
-    """glibc keeps freed memory for later; other libraries lack the call."""
-    import ctypes
-
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """df, whose session sends at most so many rows to Python at a time from now on."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
