@@ -40,7 +40,7 @@ from weftgraph.operators.components import connected_components
 
 TOKENS = 128
 #: Bytes of texts that are worked on at a time (a longer text is one such part).
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: Documents whose ids are broadcast at most, to fetch their texts; beyond it, texts are shuffled.
 BROADCAST_MEMBERS = 1_000_000
 

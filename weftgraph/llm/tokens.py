@@ -23,7 +23,7 @@ import numpy as np
 from weftgraph.llm.common import only
 
 #: Bytes that a worker remembers at most, and the characters that are worked on at a time.
-CACHE_BYTES, SLICE = 48 << 20, 1 << 20
+CACHE_BYTES, SLICE = 48 << 20, 1 << 18
 #: Longer runs go to the library, as a round of merges passes over all of a run.
 LONG = 64
 #: The id that ends each document.
