@@ -378,7 +378,7 @@ def baselines(spark, d):
 ORACLES["baselines"] = ORACLES["baselines"].replace("user_id % 2 = 0", "user_id % 2 = 0 AND user_id < 200")
 
 
-@query("SELECT ctype, n FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS ctype, count(*) AS n FROM ({ORACLES[q]})" for t, q in (("name", "name_edges"), ("identity", "identity_edges"), ("meaning", "meaning_star"), ("value", "value_star"), ("algorithm", "clone_pairs"))) + ")")
+@query("SELECT ctype, n FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS ctype, count(*) AS n FROM ({ORACLES[q]})" for t, q in (("name", "name_edges"), ("identity", "identity_edges"), ("meaning", "meaning_star"), ("value", "value_star"), ("algorithm", "clone_pairs"))) + ") WHERE n > 0")
 def detected_types(spark, d):
     """All detectors over orders, customers, suppliers, documents, their lines, and parts at once."""
     nodes, refs = _order_refs(spark, d)
