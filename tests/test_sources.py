@@ -109,7 +109,6 @@ def test_command_line(spark, project, tmp_path, monkeypatch):
     code, text, err = call("diff", f"--repo={project}", "--base=HEAD~1", "--format=json")
     assert code == 1 and json.loads(text)["cycles"] == 1
     assert call("diff", f"--repo={project}", "--base=nothing")[0] == 2
-    assert "b.py:3" in call("explain", str(project), "--", "b.py:3")[1]
 
 
 EVENTS = [
