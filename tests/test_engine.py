@@ -313,3 +313,19 @@ def test_edges_are_joined_once_for_each_end(spark):
         assert plan.count("Join ") == (4 if degree else 2) and plan.count("Generate ") == (2 if degree else 0)
         got = {r["seq"]: (r["locality"], r["degree"], r["b_file"], r["b_name"]) for r in edges.collect()}
         assert got == {1: (3, 1 if degree else None, "f", "b"), 2: (5, 1 if degree else None, "g", "c"), 3: (99, 1 if degree else None, "?", "x")}
+
+
+def test_groups_that_decide_nothing_are_not_found(spark):
+    """Without clusters the rows are the same, and members are paired only in directories that few others reach into."""
+    pairs = [(f"d{k}/a{i}", f"hub/h{i % 3}") for k in range(4) for i in range(3)] + [("two/a", "two/b"), ("two/c", "two/d"), ("d0/a0", "two/a"), ("one/a", "one/b"), ("one/b", "one/c")]
+    pairs += [("far/x", "ext/p"), ("far/x", "ext/q"), ("far/y", "ext/p"), ("far/y", "ext/q"), ("far/z", "far/w")]
+    edges = conform(spark.createDataFrame([(a, b, "name") for a, b in pairs], "a_file string, b_file string, ctype string"), SCORED)
+    kept = []
+    keep = lambda df, name: (kept.append(name), G.store(df, name))[1]
+    whole, rows = CH.dir_cohesion(edges, keep), CH.dir_cohesion(edges, keep, clusters=False)
+    plain = lambda df: sorted(map(tuple, df.drop("clusters").collect()))
+    assert plain(whole) == plain(rows) and {r["dir"] for r in rows.collect()} == {"hub", "two", "far"}
+    assert {r["dir"]: r["clusters"] for r in rows.collect() if r["clusters"]} == {r["dir"]: r["clusters"] for r in whole.collect() if r["dir"] != "hub"}
+    kept.clear()
+    hub = edges.limit(0).unionByName(conform(spark.createDataFrame([(f"s{k}/only", f"hub/h{i}", "name") for k in range(4) for i in range(3)], "a_file string, b_file string, ctype string"), SCORED))
+    assert plain(CH.dir_cohesion(hub, keep, clusters=False)) == [("hub", 3, 0, 12, 4)] and "neighbourhoods" not in kept

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import constants as K
 from weftgraph.functions import exprs as E
 from weftgraph.operators import modules as M
-from weftgraph.operators.graph import levelization
+from weftgraph.operators.graph import Store, levelization, store
 
 
 def gini(values: DataFrame, value: str = "value") -> DataFrame:
@@ -64,17 +64,19 @@ def encapsulation_axis(depths: DataFrame) -> DataFrame:
     return depths.agg(F.coalesce(E.round4(F.avg("value")), F.lit(1.0)).alias("value"))
 
 
-def quality_axes(edges: DataFrame, solved: DataFrame, definitions: DataFrame, stats: DataFrame, modules: DataFrame | None = None) -> DataFrame:
-    """(key, value) of the seven axes, in order of n. Filters of reports don't touch the edges here."""
-    modules = M.file_modules(edges) if modules is None else modules
-    member = M.membership(modules)
+def quality_axes(edges: DataFrame, solved: DataFrame, definitions: DataFrame, stats: DataFrame, modules: DataFrame | None = None, keep: Store = store) -> DataFrame:
+    """(key, value) of the seven axes, in order of n. Filters of reports don't touch the edges here. Weights and
+    members are stored: they are read more than once, and where they are few, edges needn't be shuffled to meet them."""
+    weight = keep(M.dependency_weight(edges), "weights")
+    modules = M.module_levels(weight).where("level = 0").drop("level") if modules is None else modules
+    member = keep(M.membership(modules), "members")
     axes = {
         "acyclicity": acyclicity_axis(solved),
         "levelization": levelization_axis(levelization(solved)),
         "encapsulation": encapsulation_axis(M.module_depth(edges, member)),
         "equality": equality_axis(definitions),
         "redundancy": redundancy_axis(stats),
-        "cohesion": cohesion_axis(M.dependency_weight(edges), member),
+        "cohesion": cohesion_axis(weight, member),
         "coupling": worst_decile(edges),
     }
     out = None
