@@ -329,3 +329,11 @@ def test_groups_that_decide_nothing_are_not_found(spark):
     kept.clear()
     hub = edges.limit(0).unionByName(conform(spark.createDataFrame([(f"s{k}/only", f"hub/h{i}", "name") for k in range(4) for i in range(3)], "a_file string, b_file string, ctype string"), SCORED))
     assert plain(CH.dir_cohesion(hub, keep, clusters=False)) == [("hub", 3, 0, 12, 4)] and "neighbourhoods" not in kept
+
+
+def test_rare_files_leave_before_pairs(spark):
+    """Files of fewer commits than a pair needs are in no pair that is made."""
+    items = spark.createDataFrame([(c, -c, f) for c in range(4) for f in ["x", "y", *(f"only{c}{i}" for i in range(9))]], "sha long, seq long, file string")
+    pairs = CO.cochange_pairs(items, 3, 0.5, 25)
+    assert [tuple(r) for r in pairs.collect()] == [("x", "y", 4, 1.0, 3)]
+    assert "left_semi" in pairs._jdf.queryExecution().analyzed().toString().lower().replace("leftsemi", "left_semi") and pairs._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2

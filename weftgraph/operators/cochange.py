@@ -22,10 +22,13 @@ def cochange_pairs(items: DataFrame, min_support: int, min_ratio: float, max_ite
     """(a, b, support, ratio, last) over (sha, seq, file) rows: files seen together in min_support commits, and
     in min_ratio of those of the rarer one. Commits of more than max_items files don't count at all; that bounds
     a commit's pairs. seq 0 is the newest."""
-    rows = items.select("sha", "seq", "file").distinct()
+    # Parted by commit once: what follows is within commits, until files are counted.
+    rows = items.select("sha", "seq", "file").repartition("sha").distinct()
     sizes = rows.groupBy("sha").agg(F.count("*").alias("n")).where(F.col("n") <= max_items)
     rows = rows.join(sizes.select("sha"), "sha", "left_semi")
-    frequency = rows.groupBy("file").agg(F.count("*").alias("f"))
+    # A pair isn't seen more often than its rarer file, so rare files leave before pairs are made.
+    frequency = rows.groupBy("file").agg(F.count("*").alias("f")).where(F.col("f") >= min_support)
+    rows = rows.join(frequency.select("file"), "file", "left_semi")
     # A commit's files are few now, so its pairs are made in its row.
     sets = rows.groupBy("sha").agg(F.min("seq").alias("seq"), F.array_sort(F.collect_list("file")).alias("files")).where(F.size("files") > 1)
     later = lambda a, i: F.transform(F.slice("files", i + 2, F.size("files")), lambda b: F.struct(a.alias("a"), b.alias("b")))
