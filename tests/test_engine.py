@@ -286,6 +286,34 @@ def test_documents_share_lines_of_any_number(spark, tmp_path, monkeypatch):
         assert {(x.a, x.b): x.shared for x in got} == want and len(got) == len(want)
 
 
+def test_pairs_of_a_large_set_are_spread(spark, tmp_path, monkeypatch):
+    """No task makes a large part of the pairs, though most documents have the same lines; chunks and parts lose none."""
+    from weftgraph.plans import registry
+
+    texts = ["x one\nx two"] * 400 + [f"x one\nx two\nrare {i % 40}" for i in range(120)] + [f"x one\nrare {i % 40}\nonly {i}" for i in range(40)] + [f"x two\nrare {i % 5}" for i in range(30)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = {str(i): set(t.split("\n")) for i, t in enumerate(texts)}
+    want = {(a, b): n for a in lines for b in lines if a < b and (n := len(lines[a] & lines[b])) >= 2}
+    for name, value in (("CHUNK", 32), ("TASK_ROWS", 5000)):
+        monkeypatch.setattr(CH, name, value, raising=False)
+    got = registry.affinity_documents(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert {(x.a, x.b): x.shared for x in got} == want and len(got) == len(want)
+    tasks = [x.task for x in got]
+    assert max(tasks.count(t) for t in set(tasks)) < len(got) / 5
+
+
+def test_a_line_of_all_sets_makes_no_rows(spark):
+    """Sets that share their commonest neighbour alone are never paired for it."""
+    links = spark.createDataFrame([(0, f"m{i:03}", x) for i in range(300) for x in ("hot", f"own {i // 2}", f"{i % 2} own {i}", f"{i % 2} own {i - 2}")], "grp int, member string, neighbour string")
+    made = []
+    keep = lambda df, name: (made.append((name, G.store(df, name))), made[-1][1])[1]
+    got = {(r["a"], r["b"]): r["shared"] for r in CH.shared_pairs(links, keep=keep).collect()}
+    hood = {f"m{i:03}": {"hot", f"own {i // 2}", f"{i % 2} own {i}", f"{i % 2} own {i - 2}"} for i in range(300)}
+    assert got == {(a, b): n for a in hood for b in hood if a < b and (n := len(hood[a] & hood[b])) >= 2} and len(got) > 400
+    rows = dict(made)["blocks"].selectExpr("sum(k * n)").first()[0]
+    assert rows < 300 * 299 / 20
+
+
 def test_components_over_lines_of_any_number(spark, tmp_path):
     from weftgraph.plans import registry
 
