@@ -314,6 +314,22 @@ def test_a_line_of_all_sets_makes_no_rows(spark):
     assert rows < 300 * 299 / 20
 
 
+def test_documents_are_read_once_for_their_lines(spark, tmp_path):
+    """Where links are too many to be broadcast."""
+    from weftgraph.plans import registry
+
+    line_documents(spark, tmp_path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = CH._shared_links(registry._document_lines(spark, str(tmp_path)), 2)
+        links.collect()
+        plan = links._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("FileScan") == 1
+
+
 def test_components_over_lines_of_any_number(spark, tmp_path):
     from weftgraph.plans import registry
 
